@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -67,6 +68,12 @@ class Scratch:
         """The rows of `df`, computed once and read from the shared folder from here on."""
         return self.read(self.write(df), df.schema)
 
+    def release(self) -> None:
+        """Lets Spark remove the shuffle files of steps that are done, which it does when the driver collects garbage;
+        a long query would otherwise hold those of all its steps."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
