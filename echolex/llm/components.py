@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from echolex.session import Scratch
 
 #: Rate of the exponential shifts, and the cap on a shift, that is the number of rounds in which clusters grow.
-RATE = 0.7
-ROUNDS = 2
+RATE = 0.4
+ROUNDS = 4
 MOST_LEVELS = 200
 
 
