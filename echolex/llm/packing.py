@@ -17,6 +17,8 @@ from pyspark.sql.window import Window
 
 from echolex.session import Scratch
 
+#: The search for a combination ends at a slack of capacity // FINE, which spares small items for later containers.
+FINE = 2048
 #: Into how many parts the items of one size are split for ranking.
 RANK_PARTS = 64
 
@@ -33,6 +35,7 @@ def minimum_bin_slack(histogram: dict[int, int], capacity: int) -> list[tuple[in
     while head < len(sizes):
         largest = sizes[head]
         room = capacity - largest
+        enough = max(0, room - capacity // FINE)
         steps: list[tuple[int, int, int, int]] = []
         reach, full = 1, (1 << (room + 1)) - 1
         for size in sizes[head:] if room else []:
@@ -40,13 +43,13 @@ def minimum_bin_slack(histogram: dict[int, int], capacity: int) -> list[tuple[in
                 continue
             count = min(left[size] - (size == largest), room // size)
             chunk = 1
-            while count > 0 and not reach >> room & 1:
+            while count > 0 and not reach >> enough:
                 take = min(chunk, count)  # binary splitting of the multiplicity
                 steps.append((size, take, reach, take * size))
                 reach = (reach | reach << take * size) & full
                 count -= take
                 chunk *= 2
-            if reach >> room & 1:
+            if reach >> enough:
                 break
         target = reach.bit_length() - 1
         used = {largest: 1}
