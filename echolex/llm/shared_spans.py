@@ -8,7 +8,10 @@ lies in both in a chunk with the same cut. Chunks are deduplicated by digest:
 
 1. cuts whose gear hash occurs in one document only drop out;
 2. chunks whose digest occurs in several documents are shared as a whole;
-3. of the other chunks at a shared cut (the ends of shared passages), the digests of the single windows decide.
+3. the other chunks at a shared cut (the ends of shared passages) are refined: their windows are put into classes of
+   CLASS neighbours by their distance from the cut. A class drops out if the text common to its windows occurs in one
+   document only, and is shared as a whole if all of its text occurs in several; in the classes left, the digests of
+   the single windows decide.
 
 Each step groups by digest with partial aggregates (the smallest and the largest document of a digest differ), so a
 passage that a third of all documents hold is never gathered, and no pairs are formed. Digests are compared within
@@ -29,6 +32,8 @@ from echolex.session import Scratch
 
 #: Characters that a gear hash looks back on.
 GEAR = 32
+#: Windows of a class in the refinement of a chunk.
+CLASS = 16
 #: Odd multiplier of the polynomial digests, modulo 2**64.
 BASE = 0x9E3779B97F4A7C15 | 1
 #: Characters hashed at once; a longer single text is hashed whole.
@@ -107,8 +112,8 @@ def _last_least(key: np.ndarray, width: int) -> np.ndarray:
 
 
 def chunks_of(points: np.ndarray, starts: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
-    """(text, first window, last window, digest of the cut, digest of the chunk) of every chunk; window positions count
-    from 0 in their text."""
+    """(text, first window, last window, place of the cut, digest of the cut) of every chunk; places count from 0 in
+    their text."""
     n = len(points)
     if n < span:
         none = np.zeros(0, np.int64)
@@ -130,9 +135,15 @@ def chunks_of(points: np.ndarray, starts: np.ndarray, span: int) -> tuple[np.nda
     fresh[1:] = (cut[place[1:]] != cut[place[:-1]]) | (text[place[1:]] != text[place[:-1]])
     first = place[fresh]
     last = np.append(place[np.flatnonzero(fresh)[1:] - 1], place[-1])
-    digest = Digests(mixed)
-    at = cut[first]
-    return text[first], first - starts[text[first]], last - starts[text[first]], digest(at - GEAR + 1, at + 1), digest(first, last + span)
+    at, start = cut[first], starts[text[first]]
+    return text[first], first - start, last - start, at - start, Digests(mixed)(at - GEAR + 1, at + 1)
+
+
+def _held(column: pa.ListArray, fields: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The row that each entry of a list of structs is in, and its fields as 64-bit numbers."""
+    row = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
+    flat = column.flatten()
+    return row, [flat.field(i).to_numpy().astype(np.int64) for i in range(fields)]
 
 
 def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,62 +177,119 @@ def shared_spans(documents: DataFrame, span: int = 200, id_col: str = "doc_id",
 
     def cut_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _cut_batches(batches):
-            text, first, last, cut, digest = chunks_of(*_texts(batch, 1), span)
+            text, first, last, at, cut = chunks_of(*_texts(batch, 1), span)
             docs = batch.column(0).take(pa.array(text))
+            places = (pa.array(x, pa.int32()) for x in (first, last, at))
+            yield pa.RecordBatch.from_arrays([docs, *places, pa.array(cut, pa.int64())], ["doc", "first", "last", "at", "cut"])
+
+    def digest_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _cut_batches(batches):
+            points, starts = _texts(batch, 1)
+            row, (first, last, at, cut) = _held(batch.column(2), 4)
+            start, digest = starts[row], Digests(_mixed(points))
+            low, high = (at - last) // CLASS, (at - first) // CLASS
+            number = high - low + 1
+            owner = np.repeat(np.arange(len(first)), number)
+            nth = np.arange(len(owner)) - np.repeat(np.cumsum(number) - number, number) + low[owner]
+            middle = start[owner] + at[owner] - nth * CLASS
+            begin = np.maximum(start[owner] + first[owner], middle - CLASS + 1)
+            end = np.minimum(start[owner] + last[owner], middle)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(number)]), pa.int32())
+            cores = pa.array(digest(middle, middle - CLASS + 1 + span))
+            fulls = pa.array(digest(begin, end + span) ^ (end - begin))
+            classes = pa.StructArray.from_arrays([cores, fulls], ["core", "full"])
+            places = (pa.array(x, pa.int32()) for x in (first, last, at))
+            whole = pa.array(digest(start + first, start + last + span))
             yield pa.RecordBatch.from_arrays(
-                [docs, pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(cut, pa.int64()), pa.array(digest, pa.int64())],
-                ["doc", "first", "last", "cut", "digest"],
+                [batch.column(0).take(pa.array(row)), *places, pa.array(cut), whole, pa.ListArray.from_arrays(offsets, classes)],
+                ["doc", "first", "last", "at", "cut", "digest", "classes"],
             )
 
-    def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def digest_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _cut_batches(batches):
             points, starts = _texts(batch, 1)
-            held = batch.column(2)
-            sizes = np.diff(held.offsets.to_numpy())
-            text = np.repeat(np.arange(batch.num_rows), sizes)
-            flat = held.flatten()
-            first, last, cut = (flat.field(i).to_numpy() for i in range(3))
-            number = (last - first + 1).astype(np.int64)
+            row, (first, last, cut) = _held(batch.column(2), 3)
+            number = last - first + 1
             owner = np.repeat(np.arange(len(first)), number)
-            window = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number) + first[owner]
-            begin = starts[text[owner]] + window
+            window = np.arange(len(owner)) - np.repeat(np.cumsum(number) - number, number) + first[owner]
+            begin = starts[row[owner]] + window
             digest = Digests(_mixed(points))(begin, begin + span)
-            docs = batch.column(0).take(pa.array(text[owner]))
+            docs = batch.column(0).take(pa.array(row[owner]))
             yield pa.RecordBatch.from_arrays(
-                [docs, pa.array(window, pa.int32()), pa.array(cut[owner], pa.int64()), pa.array(digest, pa.int64())],
-                ["doc", "window", "cut", "digest"],
+                [docs, pa.array(window, pa.int32()), pa.array(cut[owner]), pa.array(digest)], ["doc", "window", "cut", "digest"]
             )
 
-    chunks = scratch.cut(texts.mapInArrow(cut_chunks, f"doc {kind}, first int, last int, cut bigint, digest bigint"))
-    near = scratch.cut(chunks.join(_several(chunks, "cut"), "cut", "left_semi"))
-    whole = _several(near, "cut", "digest").withColumn("whole", F.lit(True))
-    marked = scratch.cut(near.join(whole, ["cut", "digest"], "left"))
-    entire = marked.where("whole").select("doc", F.col("first").alias("start_pos"), (F.col("last") + span).alias("end_pos"))
-    ends = (
-        marked.where("whole is null")
-        .groupBy("doc")
-        .agg(F.collect_list(F.struct("first", "last", "cut")).alias("held"))
-    )
-    # a chunk that is shared as a whole also holds windows that others have in an end
-    inner = marked.where("whole").join(_several_ends(marked), "cut", "left_semi").groupBy("cut", "digest").agg(
-        F.min(F.struct("doc", "first", "last")).alias("one"), F.max(F.struct("doc", "first", "last")).alias("two")
+    def with_text(rows: DataFrame, *columns: str) -> DataFrame:
+        """Each document that has rows, with the list of them (bounded by its own length)."""
+        held = rows.groupBy("doc").agg(F.collect_list(F.struct(*columns)).alias("held"))
+        return texts.join(held, "doc").select("doc", "body", "held")
+
+    chunk = f"doc {kind}, first int, last int, at int, cut bigint"
+    chunks_at = scratch.write(texts.mapInArrow(cut_chunks, chunk))
+    chunks = scratch.read(chunks_at)
+    near_at = scratch.write(chunks.join(_several(chunks, "cut"), "cut", "left_semi"))
+    scratch.drop(chunks_at)
+    scratch.release()
+    near = with_text(scratch.read(near_at), "first", "last", "at", "cut")
+    classed = f"{chunk}, digest bigint, classes array<struct<core: bigint, full: bigint>>"
+    digests_at = scratch.write(near.mapInArrow(digest_chunks, classed))
+    scratch.drop(near_at)
+    scratch.release()
+    marked_at = scratch.write(_marked(scratch.read(digests_at), ["cut"], "digest"))
+    scratch.drop(digests_at)
+    scratch.release()
+    marked = scratch.read(marked_at)
+
+    def spans(rows: DataFrame) -> DataFrame:
+        return rows.where("whole").select("doc", F.col("first").alias("start_pos"), (F.col("last") + span).alias("end_pos"))
+
+    rest = _rest(marked, ["cut"], "digest", ["doc", "first", "last", "at", "classes"])
+    low = F.floor((F.col("at") - F.col("last")) / CLASS).cast("int")
+    rest = rest.select("cut", "doc", "first", "last", "at", low.alias("low"), F.posexplode("classes").alias("place", "class"))
+    nearest = F.col("at") - (F.col("low") + F.col("place")) * CLASS
+    rest = rest.select(
+        "cut",
+        (F.col("low") + F.col("place")).alias("nth"),
+        "class.core",
+        "class.full",
+        "doc",
+        F.greatest("first", nearest - (CLASS - 1)).alias("first"),
+        F.least("last", nearest).alias("last"),
     )
-    inner = inner.select("cut", F.explode(F.array("one", "two")).alias("at")).groupBy("at.doc").agg(
-        F.collect_list(F.struct("at.first", "at.last", "cut")).alias("held")
+    rest_at = scratch.write(rest)
+    group = ["cut", "nth", "core"]
+    classes_at = scratch.write(_marked(scratch.read(rest_at), group, "full"))
+    scratch.drop(rest_at)
+    scratch.release()
+    classes = scratch.read(classes_at)
+    kept = _rest(classes, group, "full", ["doc", "first", "last"])
+    windows_at = scratch.write(
+        with_text(kept, "first", "last", "cut").mapInArrow(digest_windows, f"doc {kind}, window int, cut bigint, digest bigint")
     )
-    held = ends.withColumn("own", F.lit(True)).unionByName(inner.withColumn("own", F.lit(False)))
-    held = held.groupBy("doc").agg(F.flatten(F.collect_list("held")).alias("held"))
-    rows = texts.join(held, "doc").select("doc", "body", "held")
-    windows = scratch.cut(rows.mapInArrow(one_by_one, f"doc {kind}, window int, cut bigint, digest bigint"))
+    scratch.release()
+    windows = scratch.read(windows_at)
     single = windows.join(_several(windows, "cut", "digest"), ["cut", "digest"], "left_semi").select(
         "doc", F.col("window").alias("start_pos"), (F.col("window") + span).alias("end_pos")
     )
-    return merge_runs(entire.unionByName(single)).withColumnRenamed("doc", id_col)
+    return merge_runs(spans(marked).unionByName(spans(classes)).unionByName(single)).withColumnRenamed("doc", id_col)
+
+
+def _marked(units: DataFrame, group: list[str], key: str) -> DataFrame:
+    """The units (with `doc`) whose group occurs in several documents, with `whole`: whether their key does, within the
+    group."""
+    keys = units.groupBy(*group, key).agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
+    shared = keys.groupBy(*group).agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least <> most")
+    keys = keys.join(shared.select(*group), group, "left_semi").select(*group, key, (F.col("low") != F.col("high")).alias("whole"))
+    return units.join(keys, [*group, key])
 
 
-def _several_ends(marked: DataFrame) -> DataFrame:
-    """The cuts with a chunk that isn't shared as a whole."""
-    return marked.where("whole is null").select("cut").distinct()
+def _rest(marked: DataFrame, group: list[str], key: str, row: list[str]) -> DataFrame:
+    """The units that aren't shared as a whole, and those they may share a part with: of each key that is shared as a
+    whole in their group, the units of two documents, which stand for all."""
+    single = marked.where("NOT whole").select(*group, *row)
+    alike = marked.where("whole").join(single.select(*group).distinct(), group, "left_semi").groupBy(*group, key)
+    alike = alike.agg(F.min(F.struct(*row)).alias("one"), F.max(F.struct(*row)).alias("two"))
+    return single.unionByName(alike.select(*group, F.explode(F.array("one", "two")).alias("it")).select(*group, "it.*"))
 
 
 def merge_runs(spans: DataFrame) -> DataFrame:
