@@ -6,9 +6,9 @@ contracted to super-vertices, the edges between clusters are the next level's gr
 assignments of all levels are composed. Each level keeps a constant fraction of the edges in expectation, so the number
 of levels is logarithmic for any shape of graph, long chains and hubs included.
 
-A vertex is the item itself, never a hash of it, so unlike items can't be merged by accident. Every aggregate is a
-`min`, combined before its shuffle; joins on a hub's edges are split by adaptive execution. Levels are cut by tables in
-the shared folder.
+Vertices are numbered densely, never hashed, so unlike items can't be merged by accident. A label is one long, the time
+of arrival above the number of the center, and every aggregate is its `min`, combined before the shuffle; joins on a
+hub's edges are split by adaptive execution. Levels are cut by tables in the shared folder.
 """
 
 from __future__ import annotations
@@ -22,13 +22,17 @@ from echolex.session import Scratch
 RATE = 0.4
 ROUNDS = 4
 MOST_LEVELS = 200
+#: Bits of a label for the number of the center (2**40 vertices), and for the fraction of a time.
+CENTER_BITS, FRACTION_BITS = 40, 19
+HOP = 1 << (CENTER_BITS + FRACTION_BITS)
 
 
 def _start(vertex: Column, level: int, seed: int) -> Column:
-    """The start time of a vertex: minus its exponential shift, capped at ROUNDS. A pure function of its arguments, so
-    a task that runs again draws the same."""
+    """A vertex's own label: the start time ROUNDS minus its exponential shift, capped at ROUNDS, and itself. A pure
+    function of its arguments, so a task that runs again draws the same."""
     uniform = (F.pmod(F.xxhash64(F.lit(seed * 1000 + level), vertex), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    return -F.least(-F.log(uniform) / RATE, F.lit(float(ROUNDS)))
+    time = ROUNDS - F.least(-F.log(uniform) / RATE, F.lit(float(ROUNDS)))
+    return F.shiftleft(F.floor(time * (1 << FRACTION_BITS)).cast("bigint"), CENTER_BITS).bitwiseOR(vertex)
 
 
 def _grow(edges: DataFrame, level: int, seed: int) -> DataFrame:
@@ -36,22 +40,33 @@ def _grow(edges: DataFrame, level: int, seed: int) -> DataFrame:
     arcs = edges.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(
         edges.select(F.col("b").alias("src"), F.col("a").alias("dst"))
     )
-
-    def label(time: Column, center: str) -> Column:
-        return F.struct(time.alias("time"), F.col(center).alias("center"))
-
-    first = arcs.groupBy(F.col("dst").alias("v")).agg(F.min(label(_start(F.col("src"), level, seed) + 1.0, "src")).alias("came"))
-    labels = first.select("v", F.least("came", label(_start(F.col("v"), level, seed), "v")).alias("label"))
+    first = arcs.groupBy(F.col("dst").alias("v")).agg(F.min(_start(F.col("src"), level, seed) + HOP).alias("came"))
+    labels = first.select("v", F.least("came", _start(F.col("v"), level, seed)).alias("label"))
     for _ in range(ROUNDS - 1):
-        came = arcs.join(labels.withColumnRenamed("v", "src"), "src").select(
-            F.col("dst").alias("v"), label(F.col("label.time") + 1.0, "label.center").alias("label")
-        )
-        labels = labels.unionByName(came).groupBy("v").agg(F.min("label").alias("label"))
-    return labels.select("v", F.col("label.center").alias("center"))
+        # every arc carries its source's label to the target, and back to the source itself
+        to_target = F.struct(F.col("dst").alias("v"), (F.col("label") + HOP).alias("label"))
+        to_source = F.struct(F.col("src").alias("v"), F.col("label").alias("label"))
+        came = arcs.join(labels.withColumnRenamed("v", "src"), "src").select(F.inline(F.array(to_target, to_source)))
+        labels = came.groupBy("v").agg(F.min("label").alias("label"))
+    return labels.select("v", F.col("label").bitwiseAND((1 << CENTER_BITS) - 1).alias("center"))
+
+
+def _numbered(items: DataFrame, scratch: Scratch) -> DataFrame:
+    """(item, number): distinct items with dense numbers. The numbers are written down, so they never change."""
+    rows = scratch.cut(items.distinct().withColumn("place", F.monotonically_increasing_id()))
+    part, row = F.shiftright("place", 33), F.col("place").bitwiseAND((1 << 33) - 1)
+    sizes = rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("part")  # one a task
+    sizes["offset"] = sizes["n"].cumsum() - sizes["n"]
+    if sizes["n"].sum() >= 1 << CENTER_BITS:
+        raise ValueError("too many items")
+    offsets = [(int(p), int(o)) for p, o in zip(sizes["part"], sizes["offset"])] or [(-1, 0)]
+    known = items.sparkSession.createDataFrame(offsets, "part bigint, offset bigint")
+    return rows.withColumn("part", part).join(F.broadcast(known), "part").select("item", (row + F.col("offset")).alias("number"))
 
 
 def decompose(edges: DataFrame, seed: int = 0) -> DataFrame:
-    """(v, root) for every end of the (a, b) edges: `root` is the same for two vertices iff a chain links them.
+    """(v, root) for every end of the (a, b) edges: `root`, a number, is the same for two vertices iff a chain links
+    them.
 
     Loops and rows with a null end count for nothing, repeated edges once; a table without edges gives no rows.
     """
@@ -61,8 +76,12 @@ def decompose(edges: DataFrame, seed: int = 0) -> DataFrame:
         low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
         return df.where("a <> b").select(low, high).distinct()
 
-    at = scratch.write(canonical(edges.select("a", "b")))
-    vertex = edges.schema["a"].dataType
+    named = scratch.cut(canonical(edges.select("a", "b")))
+    ends = named.select(F.col("a").alias("item")).unionByName(named.select(F.col("b").alias("item")))
+    numbers = scratch.cut(_numbered(ends, scratch))
+    a = numbers.select(F.col("item").alias("a"), F.col("number").alias("x"))
+    b = numbers.select(F.col("item").alias("b"), F.col("number").alias("y"))
+    at = scratch.write(named.join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
     levels: list[DataFrame] = []
     for level in range(MOST_LEVELS):
         now = scratch.read(at)
@@ -70,22 +89,20 @@ def decompose(edges: DataFrame, seed: int = 0) -> DataFrame:
             break
         labels = scratch.cut(_grow(now, level, seed))
         levels.append(labels)
-        a = labels.select(F.col("v").alias("a"), F.col("center").alias("ca"))
-        b = labels.select(F.col("v").alias("b"), F.col("center").alias("cb"))
-        between = now.join(a, "a").where("ca is not null").join(b, "b").where("ca <> cb")
-        then = scratch.write(canonical(between.select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
+        a = labels.select(F.col("v").alias("a"), F.col("center").alias("x"))
+        b = labels.select(F.col("v").alias("b"), F.col("center").alias("y"))
+        between = now.join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        then = scratch.write(canonical(between))
         scratch.drop(at)
+        scratch.release()
         at = then
     else:
         raise RuntimeError(f"edges are left after {MOST_LEVELS} levels")
-    if not levels:
-        name = vertex.simpleString()
-        return edges.sparkSession.createDataFrame([], f"v {name}, root {name}")
-    roots = levels[-1].withColumnRenamed("center", "root")
-    for labels in reversed(levels[:-1]):
+    roots = numbers.select(F.col("number").alias("v"), F.col("number").alias("root")).limit(0)
+    for labels in reversed(levels):
         upper = roots.select(F.col("v").alias("center"), "root")
         roots = labels.join(upper, "center", "left").select("v", F.coalesce("root", "center").alias("root"))
-    return scratch.cut(roots)
+    return scratch.cut(numbers.join(roots, F.col("number") == F.col("v")).select(F.col("item").alias("v"), "root"))
 
 
 def set_edges(sets: DataFrame, items_col: str) -> DataFrame:
