@@ -15,7 +15,7 @@ lies in both in a chunk with the same cut. Chunks are deduplicated by digest:
 
 Each step groups by digest with partial aggregates (the smallest and the largest document of a digest differ), so a
 passage that a third of all documents hold is never gathered, and no pairs are formed. Digests are compared within
-their cut, that is 128 bits in all.
+their cut or class, that is 128 bits in all.
 """
 
 from __future__ import annotations
@@ -208,7 +208,7 @@ def shared_spans(documents: DataFrame, span: int = 200, id_col: str = "doc_id",
     def digest_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _cut_batches(batches):
             points, starts = _texts(batch, 1)
-            row, (first, last, cut) = _held(batch.column(2), 3)
+            row, (first, last, unit) = _held(batch.column(2), 3)
             number = last - first + 1
             owner = np.repeat(np.arange(len(first)), number)
             window = np.arange(len(owner)) - np.repeat(np.cumsum(number) - number, number) + first[owner]
@@ -216,7 +216,7 @@ def shared_spans(documents: DataFrame, span: int = 200, id_col: str = "doc_id",
             digest = Digests(_mixed(points))(begin, begin + span)
             docs = batch.column(0).take(pa.array(row[owner]))
             yield pa.RecordBatch.from_arrays(
-                [docs, pa.array(window, pa.int32()), pa.array(cut[owner]), pa.array(digest)], ["doc", "window", "cut", "digest"]
+                [docs, pa.array(window, pa.int32()), pa.array(unit[owner]), pa.array(digest)], ["doc", "window", "unit", "digest"]
             )
 
     def with_text(rows: DataFrame, *columns: str) -> DataFrame:
@@ -235,7 +235,7 @@ def shared_spans(documents: DataFrame, span: int = 200, id_col: str = "doc_id",
     digests_at = scratch.write(near.mapInArrow(digest_chunks, classed))
     scratch.drop(near_at)
     scratch.release()
-    marked_at = scratch.write(_marked(scratch.read(digests_at), ["cut"], "digest"))
+    marked_at = scratch.write(_marked(scratch.read(digests_at), "cut", "digest"))
     scratch.drop(digests_at)
     scratch.release()
     marked = scratch.read(marked_at)
@@ -243,53 +243,53 @@ def shared_spans(documents: DataFrame, span: int = 200, id_col: str = "doc_id",
     def spans(rows: DataFrame) -> DataFrame:
         return rows.where("whole").select("doc", F.col("first").alias("start_pos"), (F.col("last") + span).alias("end_pos"))
 
-    rest = _rest(marked, ["cut"], "digest", ["doc", "first", "last", "at", "classes"])
+    rest = _rest(marked, "cut", "digest", ["doc", "first", "last", "at", "classes"])
     low = F.floor((F.col("at") - F.col("last")) / CLASS).cast("int")
     rest = rest.select("cut", "doc", "first", "last", "at", low.alias("low"), F.posexplode("classes").alias("place", "class"))
-    nearest = F.col("at") - (F.col("low") + F.col("place")) * CLASS
+    nth = F.col("low") + F.col("place")
+    nearest = F.col("at") - nth * CLASS
     rest = rest.select(
-        "cut",
-        (F.col("low") + F.col("place")).alias("nth"),
-        "class.core",
+        F.xxhash64("cut", nth, "class.core").alias("unit"),
         "class.full",
         "doc",
         F.greatest("first", nearest - (CLASS - 1)).alias("first"),
         F.least("last", nearest).alias("last"),
     )
     rest_at = scratch.write(rest)
-    group = ["cut", "nth", "core"]
-    classes_at = scratch.write(_marked(scratch.read(rest_at), group, "full"))
+    scratch.release()
+    rest = scratch.read(rest_at)
+    kept_at = scratch.write(rest.join(_several(rest, "unit"), "unit", "left_semi"))
     scratch.drop(rest_at)
     scratch.release()
+    classes_at = scratch.write(_marked(scratch.read(kept_at), "unit", "full"))
+    scratch.drop(kept_at)
+    scratch.release()
     classes = scratch.read(classes_at)
-    kept = _rest(classes, group, "full", ["doc", "first", "last"])
+    kept = _rest(classes, "unit", "full", ["doc", "first", "last"])
     windows_at = scratch.write(
-        with_text(kept, "first", "last", "cut").mapInArrow(digest_windows, f"doc {kind}, window int, cut bigint, digest bigint")
+        with_text(kept, "first", "last", "unit").mapInArrow(digest_windows, f"doc {kind}, window int, unit bigint, digest bigint")
     )
     scratch.release()
     windows = scratch.read(windows_at)
-    single = windows.join(_several(windows, "cut", "digest"), ["cut", "digest"], "left_semi").select(
+    single = windows.join(_several(windows, "unit", "digest"), ["unit", "digest"], "left_semi").select(
         "doc", F.col("window").alias("start_pos"), (F.col("window") + span).alias("end_pos")
     )
     return merge_runs(spans(marked).unionByName(spans(classes)).unionByName(single)).withColumnRenamed("doc", id_col)
 
 
-def _marked(units: DataFrame, group: list[str], key: str) -> DataFrame:
-    """The units (with `doc`) whose group occurs in several documents, with `whole`: whether their key does, within the
-    group."""
-    keys = units.groupBy(*group, key).agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
-    shared = keys.groupBy(*group).agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least <> most")
-    keys = keys.join(shared.select(*group), group, "left_semi").select(*group, key, (F.col("low") != F.col("high")).alias("whole"))
-    return units.join(keys, [*group, key])
+def _marked(units: DataFrame, group: str, key: str) -> DataFrame:
+    """The units (with `doc`) with `whole`: whether their key occurs in several documents, within the group."""
+    keys = units.groupBy(group, key).agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
+    return units.join(keys.select(group, key, (F.col("low") != F.col("high")).alias("whole")), [group, key])
 
 
-def _rest(marked: DataFrame, group: list[str], key: str, row: list[str]) -> DataFrame:
+def _rest(marked: DataFrame, group: str, key: str, row: list[str]) -> DataFrame:
     """The units that aren't shared as a whole, and those they may share a part with: of each key that is shared as a
     whole in their group, the units of two documents, which stand for all."""
-    single = marked.where("NOT whole").select(*group, *row)
-    alike = marked.where("whole").join(single.select(*group).distinct(), group, "left_semi").groupBy(*group, key)
+    single = marked.where("NOT whole").select(group, *row)
+    alike = marked.where("whole").join(single.select(group).distinct(), group, "left_semi").groupBy(group, key)
     alike = alike.agg(F.min(F.struct(*row)).alias("one"), F.max(F.struct(*row)).alias("two"))
-    return single.unionByName(alike.select(*group, F.explode(F.array("one", "two")).alias("it")).select(*group, "it.*"))
+    return single.unionByName(alike.select(group, F.explode(F.array("one", "two")).alias("it")).select(group, "it.*"))
 
 
 def merge_runs(spans: DataFrame) -> DataFrame:
