@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from echolex.functions.text import words_of
+
 #: Trigrams in a profile, which bounds its size by the number of languages.
 PROFILE = 400
 #: Letters a text needs, and the lead of the best score over the next, before the result counts as reliable.
 LEAST_LETTERS = 20
-LEAD = 1.08
+LEAD = 1.05
 # Scripts that one language of the code table uses, and its code.
 SCRIPTS = {
     "Georgian": "ka",
@@ -41,25 +43,34 @@ SCRIPTS = {
 }
 
 
-def trigrams(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, gram): every trigram of the lower-case words of each text, words set in blanks, repeats kept."""
-    plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text_col), r"[^\p{L}]+", " ")), F.lit(" "))
-    spaced = texts.select(F.col(id_col).alias("id"), plain.alias("plain")).where(F.length("plain") > 2)
-    places = F.sequence(F.lit(1), F.length("plain") - 2)
-    return spaced.select("id", F.explode(F.transform(places, lambda i: F.substring("plain", i, F.lit(3)))).alias("gram"))
+def word_counts(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, word, n): how often each lower-case word stands in the texts of an id."""
+    words = texts.select(F.col(id_col).alias("id"), F.explode(words_of(text_col)).alias("word"))
+    return words.groupBy("id", "word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def trigrams(words: DataFrame) -> DataFrame:
+    """(id, gram, n) of (id, word, n): the trigrams of each word set in blanks, as often as the word."""
+    chars = F.split(F.concat(F.lit(" "), "word", F.lit(" ")), "")
+    grams = F.transform(
+        F.sequence(F.lit(0), F.length("word") - 1),
+        lambda i: F.concat(F.get("chars", i), F.get("chars", i + 1), F.get("chars", i + 2)),
+    )
+    spelled = words.select("id", "n", "word", chars.alias("chars"))
+    return spelled.select("id", F.explode(grams).alias("gram"), "n").groupBy("id", "gram").agg(F.sum("n").alias("n"))
 
 
 def profiles(texts: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """(lang, gram, rank): the PROFILE most frequent trigrams of each language, counted over all texts."""
     labelled = texts.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    grams = trigrams(labelled, lang_col, text_col).groupBy(F.col("id").alias("lang"), "gram").agg(F.count(F.lit(1)).alias("n"))
+    grams = trigrams(word_counts(labelled, lang_col, text_col)).withColumnRenamed("id", "lang")
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     return grams.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PROFILE).select("lang", "gram", "rank")
 
 
 def scores(texts: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang, score): the sum over a text's trigrams of how early each stands in the language's profile."""
-    counts = trigrams(texts, id_col, text_col).groupBy("id", "gram").agg(F.count(F.lit(1)).alias("n"))
+    counts = trigrams(word_counts(texts, id_col, text_col))
     early = (F.lit(PROFILE + 1) - F.col("rank")).cast("bigint")
     return counts.join(known, "gram").groupBy("id", "lang").agg(F.sum(F.col("n") * early).alias("score"))
 
@@ -91,9 +102,7 @@ def detect_file(lines: DataFrame, known: DataFrame) -> tuple[str, int]:
     """(language, ord of the line that decided it) of an (ord, line) table: the shortest prefix of lines that is
     reliable. A file is one text, so its lines are put in order; an EOFError if the end comes first."""
     order = Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    counts = trigrams(lines.dropna(), "ord", "line").groupBy("id", "gram").agg(F.count(F.lit(1)).alias("n"))
-    early = (F.lit(PROFILE + 1) - F.col("rank")).cast("bigint")
-    by_line = counts.join(known, "gram").groupBy("id", "lang").agg(F.sum(F.col("n") * early).alias("score"))
+    by_line = scores(lines.dropna(), known, "ord", "line")
     size = lines.select(F.col("ord").alias("id"), F.regexp_count("line", F.lit(r"\p{L}")).alias("letters"))
     wide = by_line.groupBy("id").pivot("lang").agg(F.first("score"))
     langs = [c for c in wide.columns if c != "id"]

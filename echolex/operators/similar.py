@@ -6,7 +6,9 @@ d shares at least one key, so candidates come from an equi-join and are verified
 * `deletions`: all strings left after up to d deletions (Bocek et al. 2007). One edit costs each side at most one
   deletion, so both reach a common string. The number of keys grows with length ** d: for d of 1 and 2.
 * `segments`: a string is cut into d + 1 segments; d edits leave one untouched (Li et al. 2011), which the other
-  string holds at a place shifted by d at most. For larger d and long strings.
+  string holds at a place shifted by d at most. For long strings, whose segments are rare.
+* `mixed`: a pair of which one string is short by deletions, any other by segments. A short string's partner has at
+  most d more code points, so deletions of strings up to that length are enough.
 
 Joins run on distinct pronunciations; rows that share one are attached afterwards.
 """
@@ -19,6 +21,10 @@ from pyspark.sql import functions as F
 from echolex.functions.phonetics import similar
 
 
+#: Strings up to this length count as short, whatever the distance.
+SHORT = 12
+
+
 def _deletions(key: Column, distance: int) -> Column:
     """All different strings left after up to `distance` deletions of one code point, the string itself included."""
     out = F.array(key)
@@ -46,13 +52,12 @@ def _by_deletions(left: DataFrame, right: DataFrame, distance: int) -> DataFrame
 
 
 def _by_segments(left: DataFrame, right: DataFrame, distance: int) -> DataFrame:
-    """Left strings are cut by their own length; a right string of length m offers, for each left length within
-    `distance` of m, its substrings at the segments' places shifted by up to `distance`."""
+    """Left strings are cut by their own length; a right string offers, for each left length within `distance` of its
+    own, its substrings at the segments' places, shifted by as much as edits before and behind the segment allow."""
     parts = distance + 1
 
     def bounds(length: Column, i: Column) -> tuple[Column, Column]:
-        start = F.expr("0") + F.floor(length * i / parts)
-        return start.cast("int"), F.floor(length * (i + 1) / parts).cast("int")
+        return F.floor(length * i / parts).cast("int"), F.floor(length * (i + 1) / parts).cast("int")
 
     def cut(length: Column, i: Column, key: Column) -> Column:
         start, end = bounds(length, i)
@@ -67,8 +72,11 @@ def _by_segments(left: DataFrame, right: DataFrame, distance: int) -> DataFrame:
     def offered(n: Column) -> Column:
         def shifted(i: Column) -> Column:
             start, end = bounds(n, i)
-            low = F.greatest(start - distance, F.lit(0))
-            high = F.least(start + distance, F.length("key") - (end - start))
+            # i segments before it and distance - i behind it: one of them is untouched, if it isn't this one, unless
+            # the edits on both sides are as few as the segments there
+            longer = F.length("key") - n
+            low = F.greatest(start + F.greatest(-i, longer - (distance - i)), F.lit(0))
+            high = F.least(start + F.least(i, longer + (distance - i)), F.length("key") - (end - start))
             places = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
             return F.transform(
                 places,
@@ -92,7 +100,14 @@ def _by_length(left: DataFrame, right: DataFrame, distance: int) -> DataFrame:
     return a.join(b, "n").where(similar("a", "b", distance)).select("a", "b")
 
 
-STRATEGIES = {"deletions": _by_deletions, "segments": _by_segments, "length": _by_length}
+def _mixed(left: DataFrame, right: DataFrame, distance: int) -> DataFrame:
+    short = min(4 * (distance + 1), SHORT)
+    near = [d.where(F.length("key") <= short + distance) for d in (left, right)]
+    far = [d.where(F.length("key") > short) for d in (left, right)]
+    return _by_deletions(*near, distance).unionByName(_by_segments(*far, distance)).distinct()
+
+
+STRATEGIES = {"mixed": _mixed, "deletions": _by_deletions, "segments": _by_segments, "length": _by_length}
 
 
 def similar_keys(left: DataFrame, right: DataFrame, distance: int, strategy: str | None = None) -> DataFrame:
@@ -100,7 +115,7 @@ def similar_keys(left: DataFrame, right: DataFrame, distance: int, strategy: str
     if distance < 0:
         raise ValueError("distance must not be negative")
     keys = [d.select(F.col("phonemes").alias("key")).dropna().distinct() for d in (left, right)]
-    return STRATEGIES[strategy or ("deletions" if distance <= 2 else "segments")](*keys, distance)
+    return STRATEGIES[strategy or ("deletions" if distance <= 1 else "mixed")](*keys, distance)
 
 
 def _numbered(dictionary: DataFrame) -> DataFrame:

@@ -386,13 +386,14 @@ def oracle_sql() -> dict[str, str]:
               SELECT lang, filename FROM voices QUALIFY row_number() OVER (PARTITION BY lang ORDER BY priority DESC, filename) = 1)
             USING (lang)""",
         "language_profiles": rf"""
-            WITH plain AS (
-              SELECT lang, ' ' || trim(regexp_replace(lower(text), '[^\p{{L}}]+', ' ', 'g')) || ' ' AS p FROM documents
-              WHERE lang IS NOT NULL AND text IS NOT NULL),
+            WITH words AS (
+              SELECT lang, ' ' || word || ' ' AS w, count(*) AS n
+              FROM (SELECT lang, unnest(regexp_split_to_array(lower(text), '[^\p{{L}}]+')) AS word FROM documents
+                    WHERE lang IS NOT NULL) WHERE word <> '' GROUP BY ALL),
             grams AS (
-              SELECT lang, gram, count(*) AS n FROM (
-                SELECT lang, unnest(list_transform(range(1, length(p) - 1), lambda i: array_to_string(c[i:i + 2], ''))) AS gram
-                FROM (SELECT lang, p, string_split(p, '') AS c FROM plain WHERE length(p) > 2)) GROUP BY ALL)
+              SELECT lang, gram, sum(n) AS n
+              FROM (SELECT lang, n, substring(w, i::INT, 3) AS gram FROM (SELECT lang, n, w, unnest(range(1, length(w) - 1)) AS i FROM words))
+              GROUP BY ALL)
             SELECT lang, gram, rank FROM (
               SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS rank FROM grams)
             WHERE rank <= {detect.PROFILE}""",

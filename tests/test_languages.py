@@ -77,5 +77,6 @@ def test_detection_on_unseen_documents(spark):
     train, held_out = documents.where("doc_id % 2 = 0"), documents.where("doc_id % 2 = 1")
     found = D.detect(held_out, D.profiles(train)).join(held_out.select("doc_id", "lang"), D.F.col("id") == D.F.col("doc_id"))
     rows = found.collect()
-    right = sum(r["language"] == r["lang"] for r in rows)
-    assert right >= 0.9 * len(rows) > 0
+    named = [r for r in rows if r["language"] is not None]
+    assert len(named) >= 0.8 * len(rows) > 0
+    assert sum(r["language"] == r["lang"] for r in named) >= 0.97 * len(named)
