@@ -7,7 +7,7 @@ of the code table decide by themselves.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -75,14 +75,13 @@ def scores(texts: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col:
     return counts.join(known, "gram").groupBy("id", "lang").agg(F.sum(F.col("n") * early).alias("score"))
 
 
-def _script(text):
-    """The code of the script that one language uses, if most letters are of it."""
-    letters = F.regexp_count(text, F.lit(r"\p{L}"))
+def _script(foreign: Column, letters: Column) -> Column:
+    """The code of the script that one language uses, if most letters are of it; `foreign` are those not Latin."""
     out = F.lit(None).cast("string")
     for script, code in reversed(SCRIPTS.items()):
-        found = F.regexp_count(text, F.lit(rf"\p{{Is{script}}}"))
+        found = F.regexp_count(foreign, F.lit(rf"\p{{Is{script}}}"))
         out = F.when((found > 0) & (found * (3 if script == "Hiragana" else 2) > letters), code).otherwise(out)
-    return out
+    return F.when(F.length(foreign) * 3 > letters, out)
 
 
 def detect(texts: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -92,8 +91,10 @@ def detect(texts: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col:
     )
     second = F.coalesce(F.get("all", F.lit(1)), F.lit(0))
     clear = best.where(F.col("first.score") >= second * LEAD).select("id", F.col("first.lang").alias("by_grams"))
-    letters = F.regexp_count(F.coalesce(text_col, F.lit("")), F.lit(r"\p{L}"))
-    rows = texts.select(F.col(id_col).alias("id"), _script(F.col(text_col)).alias("script"), letters.alias("letters"))
+    foreign = F.regexp_replace(F.coalesce(text_col, F.lit("")), r"[\p{IsLatin}\P{L}]+", "")
+    letters = F.length(F.regexp_replace(F.coalesce(text_col, F.lit("")), r"\P{L}+", ""))
+    rows = texts.select(F.col(id_col).alias("id"), foreign.alias("foreign"), letters.alias("letters"))
+    rows = rows.withColumn("script", _script(F.col("foreign"), F.col("letters")))
     named = F.coalesce("script", F.when(F.col("letters") >= LEAST_LETTERS, F.col("by_grams")))
     return rows.join(clear, "id", "left").select("id", named.alias("language"))
 

@@ -15,6 +15,7 @@ def local_session(cores: int = 8, partitions: int = 8, **settings: str) -> Spark
     defaults = {
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.session.timeZone": "UTC",
+        "spark.driver.memory": "8g",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.adaptive.enabled": "true",

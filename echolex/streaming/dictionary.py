@@ -26,6 +26,7 @@ def matched(stream: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 def homophone_counts(stream: DataFrame, time_col: str = "added_at", delay: str = "60 days", window: str = "30 days") -> DataFrame:
     """(start, phonemes, n): rows of each pronunciation in windows of event time; state is dropped behind the watermark."""
-    timed = stream.where(F.col(time_col).isNotNull() & F.col("phonemes").isNotNull()).withWatermark(time_col, delay)
+    rows = stream.select("phonemes", F.col(time_col).cast("timestamp").alias(time_col)).dropna()
+    timed = rows.withWatermark(time_col, delay)
     counts = timed.groupBy(F.window(time_col, window).alias("w"), "phonemes").agg(F.count(F.lit(1)).alias("n"))
     return counts.select(F.col("w.start").alias("start"), "phonemes", "n")
