@@ -3,6 +3,10 @@
 A profile holds the most frequent trigrams of a language with their ranks; a text is scored by how early its trigrams
 stand in each profile. A result counts as reliable only with enough text and a clear lead. Scripts used by one language
 of the code table decide by themselves.
+
+Labels may be wrong, so `learned` checks them before it takes profiles from them: the texts are cut into two halves, and
+each is scored by the profiles of the other half. A label that its own texts don't confirm is no language; profiles are
+those of the others, over all texts.
 """
 
 from __future__ import annotations
@@ -11,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from echolex.functions.text import words_of
+from echolex.functions.text import trim, words_of
+from echolex.session import Scratch
 
 #: Trigrams in a profile, which bounds its size by the number of languages.
 PROFILE = 400
@@ -49,15 +54,17 @@ def word_counts(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return words.groupBy("id", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
+def spelled(words: DataFrame) -> DataFrame:
+    """Rows with a `word` as one row for each of its trigrams, set in blanks, as `gram` instead."""
+    others = [c for c in words.columns if c != "word"]
+    padded = words.select(*others, F.concat(F.lit(" "), "word", F.lit(" ")).alias("padded"))
+    places = padded.select(*others, "padded", F.explode(F.sequence(F.lit(1), F.length("padded") - 2)).alias("place"))
+    return places.select(*others, F.substring("padded", F.col("place"), F.lit(3)).alias("gram"))
+
+
 def trigrams(words: DataFrame) -> DataFrame:
-    """(id, gram, n) of (id, word, n): the trigrams of each word set in blanks, as often as the word."""
-    chars = F.split(F.concat(F.lit(" "), "word", F.lit(" ")), "")
-    grams = F.transform(
-        F.sequence(F.lit(0), F.length("word") - 1),
-        lambda i: F.concat(F.get("chars", i), F.get("chars", i + 1), F.get("chars", i + 2)),
-    )
-    spelled = words.select("id", "n", "word", chars.alias("chars"))
-    return spelled.select("id", F.explode(grams).alias("gram"), "n").groupBy("id", "gram").agg(F.sum("n").alias("n"))
+    """(id, gram, n) of (id, word, n): the trigrams of each word, as often as the word."""
+    return spelled(words).groupBy("id", "gram").agg(F.sum("n").alias("n"))
 
 
 def profiles(texts: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
@@ -68,11 +75,69 @@ def profiles(texts: DataFrame, lang_col: str = "lang", text_col: str = "text") -
     return grams.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PROFILE).select("lang", "gram", "rank")
 
 
-def scores(texts: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang, score): the sum over a text's trigrams of how early each stands in the language's profile."""
-    counts = trigrams(word_counts(texts, id_col, text_col))
+def scores(texts: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text", by: tuple[str, ...] = ()) -> DataFrame:
+    """(id, lang, score): the sum over a text's trigrams of how early each stands in the language's profile. With
+    columns `by`, which `texts` and `known` have, by the profiles that agree in them.
+
+    The profiles are broadcast (PROFILE rows for each language), so a text's trigrams are summed up where it is read."""
     early = (F.lit(PROFILE + 1) - F.col("rank")).cast("bigint")
-    return counts.join(known, "gram").groupBy("id", "lang").agg(F.sum(F.col("n") * early).alias("score"))
+    wide = known.groupBy("gram", *by).pivot("lang").agg(F.sum(early))
+    langs = [c for c in wide.columns if c not in ("gram", *by)]
+    words = texts.select(F.col(id_col).alias("id"), *by, F.explode(words_of(text_col)).alias("word"))
+    found = spelled(words).join(F.broadcast(wide.toDF("gram", *by, *[f"s{i}" for i in range(len(langs))])), ["gram", *by])
+    summed = found.groupBy("id").agg(F.count(F.lit(1)), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(len(langs))])
+    parts = [F.struct(F.lit(c).alias("lang"), F.col(f"s{i}").alias("score")) for i, c in enumerate(langs)]
+    each = F.array(*parts) if parts else F.array().cast("array<struct<lang: string, score: bigint>>")
+    return summed.select("id", F.inline(each)).where("score IS NOT NULL")
+
+
+def _halves(texts: DataFrame) -> DataFrame:
+    """(id, label, text, half) of (id, label, text): equal texts in one half, and a label of several in both."""
+    hashed = texts.withColumn("hash", F.xxhash64("text"))
+    odd = F.pmod("hash", F.lit(2))
+    ends = hashed.groupBy("label").agg(F.max("hash").alias("high"), F.min(odd).alias("least"), F.max(odd).alias("most"))
+    half = F.when(F.col("least") != F.col("most"), odd).otherwise((F.col("hash") == F.col("high")).cast("bigint"))
+    return hashed.join(F.broadcast(ends), "label").select("id", "label", "text", half.cast("string").alias("half"))
+
+
+def _confirmed(scored: DataFrame) -> list[str]:
+    """The labels of an (id, label, ranked) table that at least half of their texts have as the best one. While there
+    are others, the one with the fewest texts is dropped, since a wrong label draws texts away from a right one. If
+    none is left, all: then they can't be checked. What is collected is one row for each label."""
+    kept = every = sorted(r["label"] for r in scored.select("label").distinct().collect())
+    while kept:
+        best = F.get(F.filter("ranked", lambda x: x["lang"].isin(kept)), F.lit(0))["lang"]
+        own = F.coalesce((best == F.col("label")).cast("int"), F.lit(0))
+        held = scored.where(F.col("label").isin(kept)).groupBy("label").agg(F.count("ranked").alias("n"), F.sum(own).alias("own"))
+        failed = [(r["n"], r["label"]) for r in held.collect() if 2 * r["own"] < max(r["n"], 1)]
+        if not failed:
+            return kept
+        kept = [k for k in kept if k != min(failed)[1]]
+    return every
+
+
+def learned(texts: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(lang, gram, rank): what `profiles` gives, where some labels are wrong; ids are unique.
+
+    Labels are folded (case, white space) and checked over all texts (see above). A trigram in the profile of every
+    language tells nothing as far as it is as early in all of them: its last place counts as none, in all profiles,
+    which leaves the order of the languages as it is and their differences plain."""
+    label = F.lower(trim(lang_col))
+    rows = texts.select(F.col(id_col).alias("id"), label.alias("label"), F.col(text_col).alias("text"))
+    rows = rows.where((F.col("label") != "") & F.col("text").isNotNull())
+    scratch = Scratch(texts.sparkSession, "languages")
+    halves = _halves(rows)
+    parts = profiles(halves.withColumn("part", F.concat("half", "label")), "part")
+    other = F.when(F.startswith("lang", F.lit("0")), "1").otherwise("0")  # the texts of one half learn from the other
+    crossed = scratch.cut(parts.select(other.alias("half"), F.substring("lang", F.lit(2), F.length("lang")).alias("lang"), "gram", "rank"))
+    ranked = F.sort_array(F.collect_list(F.struct("score", "lang")), False).alias("ranked")
+    found = scores(halves, crossed, "id", by=("half",)).groupBy("id").agg(ranked)
+    kept = _confirmed(scratch.cut(rows.select("id", "label").join(found, "id", "left")))
+    made = scratch.cut(profiles(rows.where(F.col("label").isin(kept)), "label"))
+    held = made.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), (F.lit(PROFILE + 1) - F.max("rank")).alias("least"))
+    shared = held.where((F.col("n") == len(kept)) & (F.col("n") > 1)).select("gram", "least")
+    place = (F.col("rank") + F.coalesce("least", F.lit(0))).cast("int")
+    return scratch.cut(made.join(shared, "gram", "left").select("lang", "gram", place.alias("rank")).where(F.col("rank") <= PROFILE))
 
 
 def _script(foreign: Column, letters: Column) -> Column:

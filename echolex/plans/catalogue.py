@@ -202,7 +202,7 @@ def language_profiles(spark: SparkSession, folder: str) -> DataFrame:
 
 def detect_language(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "lang", "text")
-    return detect.detect(documents, detect.profiles(documents)).select(F.col("id").alias("doc_id"), "language")
+    return detect.detect(documents, detect.learned(documents)).select(F.col("id").alias("doc_id"), "language")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

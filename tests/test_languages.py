@@ -80,3 +80,20 @@ def test_detection_on_unseen_documents(spark):
     named = [r for r in rows if r["language"] is not None]
     assert len(named) >= 0.8 * len(rows) > 0
     assert sum(r["language"] == r["lang"] for r in named) >= 0.97 * len(named)
+
+
+def test_wrong_labels_make_no_language(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text")
+    known = D.learned(documents)
+    assert {r["lang"] for r in known.select("lang").distinct().collect()} == {"en", "de", "fr", "es"}
+    rows = D.detect(documents, known).join(documents, D.F.col("id") == D.F.col("doc_id")).collect()
+    rows = [r for r in rows if r["text"] is not None and sum(c.isalpha() for c in r["text"]) >= D.LEAST_LETTERS]
+    assert sum(r["language"] is None for r in rows) <= 0.05 * len(rows)
+    labelled = [r for r in rows if r["lang"] in ("en", "de", "fr", "es")]
+    assert sum(r["language"] == r["lang"] for r in labelled) >= 0.9 * len(labelled)
+
+
+def test_labels_of_one_text_are_kept_folded(spark):
+    rows = [(i, f" {lang.upper()}", text) for i, (lang, text) in enumerate(SAMPLES)] + [(8, None, "x"), (9, "en", None)]
+    known = D.learned(spark.createDataFrame(rows, "doc_id int, lang string, text string"))
+    assert {r["lang"] for r in known.select("lang").distinct().collect()} == {"en", "de", "fr"}
