@@ -157,3 +157,11 @@ def similar_lists(pairs: DataFrame) -> DataFrame:
 def lookup(dictionary: DataFrame, phonemes: str, distance: int = 0) -> DataFrame:
     """The rows of a dictionary within the distance of one pronunciation, which a filter on the scan finds."""
     return dictionary.where(similar("phonemes", F.lit(phonemes), distance))
+
+
+def search(queries: DataFrame, dictionary: DataFrame, distance: int = 1, strategy: str | None = None) -> DataFrame:
+    """(ord, match_ord, distance): `lookup` for the pronunciation of every row of `queries` at once, by the join on keys;
+    a row of both tables finds itself. Null pronunciations find nothing."""
+    close = similar_keys(queries, dictionary, distance, strategy).withColumn("distance", F.levenshtein("a", "b"))
+    heads = queries.select("ord", F.col("phonemes").alias("a")).join(close, "a").select("ord", "b", "distance")
+    return heads.join(dictionary.select(F.col("ord").alias("match_ord"), F.col("phonemes").alias("b")), "b").select("ord", "match_ord", "distance")

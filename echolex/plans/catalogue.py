@@ -15,6 +15,8 @@ from echolex.sources.tables import table
 #: The bounds of the word-length query, and the pronunciation that is looked up.
 SHORTEST, LONGEST = 5, 10
 LOOKED_UP = "ˈʃɛv"
+#: Every row whose `ord` is divisible by this is a query of the search.
+SEARCHED = 50
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -148,6 +150,11 @@ def lookup_similar(spark: SparkSession, folder: str) -> DataFrame:
     return similar.lookup(table(spark, folder, "dictionary"), LOOKED_UP, 1).select("ord", "word", "phonemes")
 
 
+def search_similar_d1(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "dictionary")
+    return _pairs(similar.search(rows.where(F.col("ord") % SEARCHED == 0), rows, 1))
+
+
 def cluster_similar(spark: SparkSession, folder: str) -> DataFrame:
     keys = table(spark, folder, "dictionary").select("phonemes")
     pairs = similar.similar_keys(keys, keys, 1).where("a <> b")
@@ -211,8 +218,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         entry_tokens, dictionary_parse, dictionary_lines, document_lines, document_words, homophone_groups,
         homophone_groups_normalized, homophone_groups_bounded, cross_homophones, homophone_count, finished_groups,
         words_by_list, language_runs, languages_first_seen, similar_pairs_d1, similar_pairs_d2, cross_similar_d1,
-        similar_lists_d1, lookup_similar, cluster_similar, merge_groups, default_voices, voices_by_language,
-        catalogue_report, language_codes, dictionary_voices, phonemize_words, phonemize_by_language, language_profiles,
+        similar_lists_d1, lookup_similar, search_similar_d1, cluster_similar, merge_groups, default_voices,
+        voices_by_language, catalogue_report, language_codes, dictionary_voices, phonemize_words, phonemize_by_language, language_profiles,
         detect_language,
     )
     return {f.__name__: f for f in made}
@@ -361,6 +368,10 @@ def oracle_sql() -> dict[str, str]:
         "lookup_similar": f"""
             WITH {_near(f"(SELECT '{LOOKED_UP}' AS phonemes)", "dictionary")}
             SELECT ord, word, phonemes FROM dictionary WHERE phonemes IN (SELECT b FROM near)""",
+        "search_similar_d1": f"""
+            WITH {_near(f"(SELECT * FROM dictionary WHERE ord % {SEARCHED} = 0)", "dictionary")}
+            SELECT x.ord, y.ord AS match_ord, distance::BIGINT AS distance
+            FROM dictionary x JOIN near ON x.phonemes = a JOIN dictionary y ON y.phonemes = b WHERE x.ord % {SEARCHED} = 0""",
         "cluster_similar": f"""
             WITH RECURSIVE {_near("dictionary", "dictionary")},
             links AS (SELECT a, b FROM near WHERE a <> b),

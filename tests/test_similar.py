@@ -67,3 +67,16 @@ def test_nulls_and_nothing(spark):
     assert S.similar_pairs(text.empty(spark), distance=1).count() == 0
     with pytest.raises(ValueError):
         S.similar_pairs(rows, distance=-1)
+
+
+def test_search_query_finds_what_lookup_finds(spark):
+    import __spark_entry__ as entries
+
+    folder = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{folder}/dictionary.parquet")
+    found = {tuple(r) for r in entries.queries()["search_similar_d1"](spark, folder).collect()}
+    every = [(r["ord"], r["phonemes"]) for r in rows.select("ord", "phonemes").dropna().collect()]
+    asked = [(o, p) for o, p in every if o % 50 == 0]
+    for o, p in asked[:5]:
+        assert {m for q, m, _ in found if q == o} == {r["ord"] for r in S.lookup(rows, p, 1).collect()}
+    assert {q for q, _, _ in found} == {o for o, _ in asked} and any(d == 1 for _, _, d in found)
