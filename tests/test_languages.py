@@ -97,3 +97,13 @@ def test_labels_of_one_text_are_kept_folded(spark):
     rows = [(i, f" {lang.upper()}", text) for i, (lang, text) in enumerate(SAMPLES)] + [(8, None, "x"), (9, "en", None)]
     known = D.learned(spark.createDataFrame(rows, "doc_id int, lang string, text string"))
     assert {r["lang"] for r in known.select("lang").distinct().collect()} == {"en", "de", "fr"}
+
+
+def test_detection_on_unseen_documents_of_any_label_and_length(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text")
+    train, held_out = documents.where("doc_id % 2 = 0"), documents.where("doc_id % 2 = 1 AND lang IS NOT NULL AND text IS NOT NULL")
+    found = D.detect(held_out, D.learned(train)).join(held_out.select("doc_id", "lang"), D.F.col("id") == D.F.col("doc_id"))
+    rows = found.collect()
+    right = sum(r["language"] == r["lang"] for r in rows)
+    print("RIGHT", right, len(rows))
+    assert right >= 0.9 * len(rows) > 0
