@@ -166,8 +166,9 @@ def unify(
     if only_reference:
         blocks = known.select("block").distinct()
     else:
-        spread = rows.select("block", "value").unionByName(known).groupBy("block")
-        blocks = spread.agg(F.min("value").alias("low"), F.max("value").alias("high")).where("low <> high").select("block")
+        spread = rows.select("block", "value", F.lit(0).alias("known")).unionByName(known.withColumn("known", F.lit(1))).groupBy("block")
+        ends = spread.agg(F.min("value").alias("low"), F.max("value").alias("high"), F.max("known").alias("known"))
+        blocks = ends.where("low <> high OR known = 1").select("block")
     close = rows.join(blocks, "block", "left_semi").withColumn("looks", skeleton(F.col("value"), alphabet))
     distinct = close.select("looks", "value").groupBy("looks").agg(F.min("value").alias("value"))
     named = {"near": distinct, "known": known.withColumn("looks", skeleton(F.col("value"), alphabet))}

@@ -58,3 +58,10 @@ def test_without_a_reference_the_smallest_is_canonical(spark, tables):
 def test_symbols_never_stand_for_one_another():
     table = L.likeness(SYMBOLS)
     assert not set(table) & set(SYMBOLS) and set(table.values()) <= set(SYMBOLS)
+
+
+def test_a_value_equal_to_a_reference_alone_in_its_block_is_one(spark, tables):
+    _, keys, symbols = tables
+    rows = spark.createDataFrame([(KEYS[0],), ("xyz",)], "phonemes string")
+    out = {r["phonemes"]: (r["canonical"], r["is_reference"]) for r in L.unify(rows, keys, symbols).collect()}
+    assert out == {KEYS[0]: (KEYS[0], True), "xyz": ("xyz", False)}
