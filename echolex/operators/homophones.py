@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from echolex.operators.ranks import PART, in_ranges, ranked
+from echolex.session import Scratch
 
 
 def finish_groups(groups: DataFrame, col: str = "words") -> DataFrame:
@@ -12,6 +16,15 @@ def finish_groups(groups: DataFrame, col: str = "words") -> DataFrame:
     return groups.withColumn(col, members).where(F.size(col) > 1)
 
 
+def homophone_members(dictionary: DataFrame) -> DataFrame:
+    """(phonemes, word): the groups of `homophones`, one row for each distinct word. The form for groups of any size:
+    whether a pronunciation has two words shows in its smallest and largest one."""
+    rows = dictionary.select("word", "phonemes").dropna()
+    ends = rows.groupBy("phonemes").agg(F.min("word").alias("low"), F.max("word").alias("high"))
+    several = ends.where("low <> high").select("phonemes")
+    return rows.join(several, "phonemes", "left_semi").select("phonemes", "word").distinct()
+
+
 def homophones(dictionary: DataFrame) -> DataFrame:
     """(phonemes, words): the distinct words of each pronunciation that has at least two.
 
@@ -49,8 +62,14 @@ def ordered(groups: DataFrame) -> DataFrame:
     return groups.orderBy(*keys)
 
 
+def multimap_rows(pairs: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """(key, nth, value): the values of each key with their place from 0 in arrival order, repeats kept. The form for
+    keys of any size: a hot key is ranked by several tasks."""
+    return ranked(pairs.select(key, order, value), Scratch(pairs.sparkSession, "multimap"), (order,), (key,)).select(key, "nth", value)
+
+
 def multimap(pairs: DataFrame, key: str, value: str, order: str) -> DataFrame:
-    """(key, values): the values of each key in arrival order, repeats kept."""
+    """(key, values): `multimap_rows` as lists, for text output: a key is one row, so it has to fit into one task."""
     held = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(value).alias("value"))))
     return pairs.groupBy(key).agg(held.alias("held")).select(key, F.col("held.value").alias("values"))
 
@@ -59,21 +78,16 @@ def squeeze_rows(rows: DataFrame, value: str, order: str) -> DataFrame:
     """Rows whose value equals the one before (in `order`) dropped; nulls are equal to each other.
 
     An order over all rows has no partition key: neighbours are found within ranges of `order`, and only the last
-    value of each range goes to the next, so no task sees all rows.
+    value of each range goes to the next, so no task sees all rows. Rows that agree in `order` have no fixed order.
     """
-    from pyspark.sql.window import Window
-
-    ranged = rows.repartitionByRange(order).withColumn("__part", F.spark_partition_id())
-    within = Window.partitionBy("__part").orderBy(order)
+    ranged = in_ranges(rows, Scratch(rows.sparkSession, "squeeze"), order)
+    within = Window.partitionBy(PART).orderBy(order)
     marked = ranged.withColumn("__nth", F.row_number().over(within)).withColumn("__prev", F.lag(value).over(within))
-    ends = ranged.groupBy("__part").agg(F.max_by(value, order).alias("__end"))  # one row a partition
-    before = Window.orderBy("__part")
-    ends = ends.select(
-        F.lead("__part").over(before).alias("__part"), F.lit(True).alias("__has"), F.col("__end").alias("__carried")
-    ).dropna(subset=["__part"])
-    joined = marked.join(ends, "__part", "left")
-    first = F.col("__nth") == 1
-    same = F.when(first, F.col("__has").eqNullSafe(True) & F.col(value).eqNullSafe(F.col("__carried"))).otherwise(
-        F.col(value).eqNullSafe(F.col("__prev"))
-    )
+    ends = ranged.groupBy(PART).agg(F.max(F.struct(F.col(order).alias("at"), F.col(value).alias("value"))).alias("__end"))
+    before = Window.orderBy(PART)  # one row a range
+    ends = ends.select(F.lead(PART).over(before).alias(PART), F.lit(True).alias("__has"), F.col("__end.value").alias("__carried"))
+    joined = marked.join(ends.dropna(subset=[PART]), PART, "left")
+    same = F.when(
+        F.col("__nth") == 1, F.col("__has").eqNullSafe(True) & F.col(value).eqNullSafe(F.col("__carried"))
+    ).otherwise(F.col(value).eqNullSafe(F.col("__prev")))
     return joined.where(~same).select(*rows.columns)

@@ -8,15 +8,17 @@ cost of one with the right number that of its columns. A line of cost zero is pa
 checked against their types; of another, the edit operations say what is wrong.
 
 Only quotes and delimiters matter to the programme, so it runs on the line's shape, in which each run of other
-characters is one symbol; lines of equal shape share the result.
+characters is one symbol, once for each different shape of a batch. A line without quotes and with the right number of
+delimiters has cost zero as it stands, so only the shapes of other lines leave the JVM.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,13 +27,15 @@ from echolex.functions.text import is_blank, trim
 
 FIELDS = ("word", "phonemes", "lang", "freq", "added")
 DELIMITER, QUOTE, OTHER = "\t", '"', "x"
+NAMES = {QUOTE: "q", DELIMITER: "d"}
 #: Where the parser is: at a field's start, in a plain field, inside quotes, behind a quote inside quotes.
 START, PLAIN, INSIDE, BEHIND = range(4)
 #: Shapes up to this length are remembered; a longer one is worked out each time.
 REMEMBERED = 200
-#: The edits of a longer shape aren't traced (they would take memory for each of its symbols); its costs are exact.
-TRACED = 20_000
-NEVER = 1 << 30
+#: Symbols between two layers of costs that are kept; those between are worked out again when the edits are traced, so
+#: that a line of any length takes the memory of one block and of a layer for each block.
+BLOCK = 4096
+NEVER = 1 << 28
 
 
 def _step(state: int, symbol: str) -> tuple[int, int] | None:
@@ -43,68 +47,92 @@ def _step(state: int, symbol: str) -> tuple[int, int] | None:
     return None if state == BEHIND else ((PLAIN, 0), (PLAIN, 0), (INSIDE, 0))[state]
 
 
+@dataclass(frozen=True)
+class Programme:
+    """The steps of the programme as matrices over its nodes, that is pairs of (fields begun, state)."""
+
+    start: np.ndarray  # cost of each node before the first symbol
+    inserted: list[list[str]]  # the symbols inserted on the cheapest way between two nodes
+    over: dict[str, np.ndarray]  # [to, from]: least cost of a symbol and what is inserted behind it
+    through: dict[str, np.ndarray]  # [to, from]: the node right behind the symbol on that way
+    kept: dict[str, np.ndarray]  # [from, behind]: whether the symbol was read and not deleted
+
+
+@lru_cache(maxsize=16)
+def programme(fields: int) -> Programme:
+    most = fields + 1  # all larger numbers of fields count as this one
+    nodes = [(begun, state) for begun in range(1, most + 1) for state in range(4)]
+    place = {node: i for i, node in enumerate(nodes)}
+    size = len(nodes)
+
+    def after(node: tuple[int, int], symbol: str) -> int | None:
+        read = _step(node[1], symbol)
+        return None if read is None else place[min(node[0] + read[1], most), read[0]]
+
+    inserted: list[list[str | None]] = [[None] * size for _ in nodes]
+    for i in range(size):  # breadth first: every insertion costs 1
+        inserted[i][i] = ""
+        waiting = [i]
+        for at in waiting:
+            for symbol in NAMES:
+                to = after(nodes[at], symbol)
+                if to is not None and inserted[i][to] is None:
+                    inserted[i][to] = inserted[i][at] + symbol
+                    waiting.append(to)
+    insertions = np.array([[NEVER if way is None else len(way) for way in row] for row in inserted])
+    over, through, kept = {}, {}, {}
+    for symbol in (DELIMITER, QUOTE, OTHER):
+        price, read = np.full((size, size), NEVER), np.zeros((size, size), bool)
+        for i, node in enumerate(nodes):
+            if symbol != OTHER:
+                price[i, i] = 1
+            if (to := after(node, symbol)) is not None:
+                price[i, to], read[i, to] = 0, True
+        ways = price[:, :, None] + insertions[None, :, :]  # from, behind the symbol, to
+        over[symbol] = np.minimum(ways.min(1), NEVER).T.astype(np.int32).copy()
+        through[symbol], kept[symbol] = ways.argmin(1).T.copy(), read
+    return Programme(insertions[place[1, START]].astype(np.int32), inserted, over, through, kept)
+
+
 def parse_shape(shape: str, fields: int) -> tuple[int, int, str]:
     """(cost of any number of fields, cost of exactly `fields`, the edits of the latter).
 
     `shape` holds delimiters, quotes and OTHER. Edits are written as operation and place in the shape, in order:
-    `+q3` inserts a quote before symbol 3, `-d5` deletes the delimiter that is symbol 5. They are left empty for a
-    shape of more than TRACED symbols.
+    `+q3` inserts a quote before symbol 3, `-d5` deletes the delimiter that is symbol 5.
     """
-    traced = len(shape) <= TRACED
-    most = fields + 1  # all larger numbers of fields count as this one
-    size = len(shape)
-    cost = {(1, START): 0}
-    back: list[dict] = []
-
-    def insert(layer: dict, came: dict, at: int) -> None:
-        """Insertions at one place: relaxed until nothing becomes cheaper (each costs 1, so in order of cost)."""
-        waiting = sorted(layer, key=layer.get)
-        while waiting:
-            node = waiting.pop(0)
-            for symbol, name in ((QUOTE, "q"), (DELIMITER, "d")):
-                state, begun = _step(node[1], symbol)
-                to = (min(node[0] + begun, most), state)
-                if layer[node] + 1 < layer.get(to, NEVER):
-                    layer[to] = layer[node] + 1
-                    came[to] = (node, f"+{name}{at}", False)
-                    waiting.append(to)
-
-    for at in range(size + 1):
-        came: dict = {}
-        insert(cost, came, at)
-        if traced:
-            back.append(came)
-        if at == size:
-            break
-        symbol = shape[at]
-        then: dict = {}
-        over: dict = {}
-        for node, c in cost.items():
-            options = []
-            if (read := _step(node[1], symbol)) is not None:
-                options.append(((min(node[0] + read[1], most), read[0]), 0, ""))
-            if symbol != OTHER:
-                options.append((node, 1, f"-{'q' if symbol == QUOTE else 'd'}{at}"))
-            for to, price, edit in options:
-                if c + price < then.get(to, NEVER):
-                    then[to] = c + price
-                    over[to] = (node, edit, True)
-        if traced:
-            back.append(over)
-        cost = then
-    ends = {node: c for node, c in cost.items() if node[1] != INSIDE}
-    any_number = min(ends.values())
-    exact = {node: c for node, c in ends.items() if node[0] == fields}
-    node = min(exact, key=lambda k: (exact[k], k))
-    total, edits = exact[node], []
-    for k in range(len(back) - 1, -1, -1):
-        while node in back[k]:
-            node, edit, moved = back[k][node]
-            if edit:
-                edits.append(edit)
-            if moved:
-                break
-    return any_number, total, " ".join(reversed(edits))
+    steps = programme(fields)
+    cost, layers = steps.start, [steps.start]
+    for at, symbol in enumerate(shape, 1):
+        cost = (steps.over[symbol] + cost).min(1)
+        if at % BLOCK == 0:
+            layers.append(cost)
+    ends = np.where(np.arange(len(cost)) % 4 == INSIDE, NEVER, cost)
+    exact = ends[4 * (fields - 1) : 4 * fields]
+    total = int(exact.min())
+    return int(ends.min()), total, _traced(shape, steps, layers, 4 * (fields - 1) + int(exact.argmin())) if total else ""
+
+
+def _traced(shape: str, steps: Programme, layers: list[np.ndarray], node: int) -> str:
+    edits: list[str] = []
+
+    def insertions(way: str, at: int) -> None:
+        edits.extend(f"+{NAMES[symbol]}{at}" for symbol in reversed(way))
+
+    for block in range(len(layers) - 1, -1, -1):
+        part = shape[block * BLOCK : (block + 1) * BLOCK]
+        costs = [layers[block]]
+        for symbol in part:
+            costs.append((steps.over[symbol] + costs[-1]).min(1))
+        for i in range(len(part) - 1, -1, -1):
+            symbol, at = part[i], block * BLOCK + i
+            before = int((steps.over[symbol][node] + costs[i]).argmin())
+            behind = int(steps.through[symbol][node, before])
+            insertions(steps.inserted[behind][node], at + 1)
+            if not steps.kept[symbol][before, behind]:
+                edits.append(f"-{NAMES[symbol]}{at}")
+            node = before
+    insertions(steps.inserted[START][node], 0)
+    return " ".join(reversed(edits))
 
 
 @lru_cache(maxsize=100_000)
@@ -112,56 +140,36 @@ def _remembered(shape: str, fields: int) -> tuple[int, int, str]:
     return parse_shape(shape, fields)
 
 
-def shape_of(line: str) -> str:
-    return re.sub(r'[^\t"]+', OTHER, line)
-
-
-def split_fields(line: str) -> list[str]:
-    """The fields of a line of cost zero, quotes taken off."""
-    if QUOTE not in line:
-        return line.split(DELIMITER)
-    out, at, size = [], 0, len(line)
-    while True:
-        if at < size and line[at] == QUOTE:
-            end = at + 1
-            while True:
-                end = line.index(QUOTE, end)
-                if end + 1 < size and line[end + 1] == QUOTE:
-                    end += 2
-                    continue
-                break
-            out.append(line[at + 1 : end].replace('""', QUOTE))
-            at = end + 1
-        else:
-            end = line.find(DELIMITER, at)
-            end = size if end < 0 else end
-            out.append(line[at:end])
-            at = end
-        if at >= size:
-            return out
-        at += 1
+def shape_of(line: Column) -> Column:
+    return F.regexp_replace(line, r'[^\t"]+', OTHER)
+
+
+def split_quoted(line: Column) -> Column:
+    """The fields of a line of cost zero, quotes taken off. No quantifier backtracks, so long fields take no stack."""
+    held = F.regexp_extract_all(F.concat(F.lit(DELIMITER), line), F.lit(r'\t("(?:[^"]++|"")*+"|[^\t]*+)'), 1)
+    bare = lambda x: F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit(QUOTE))
+    return F.transform(held, lambda x: F.when(F.startswith(x, F.lit(QUOTE)), bare(x)).otherwise(x))
 
 
 def parse(lines: DataFrame, raw_col: str = "raw", fields: int = len(FIELDS)) -> DataFrame:
     """The lines with `parsed`: struct(quoting int, columns int, edits string, fields array<string>). The costs of
     quoting and of columns; `fields` is null unless both are zero. A null line has a null `parsed`."""
-    kind = "quoting int, columns int, edits string, fields array<string>"
 
-    @F.pandas_udf(kind)
+    @F.pandas_udf("quoting int, columns int, edits string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for lines_ in batches:
-            rows = []
-            for line in lines_:
-                if line is None:
-                    rows.append((None, None, None, None))
-                    continue
-                shape = shape_of(line)
-                quoting, columns, edits = (_remembered if len(shape) <= REMEMBERED else parse_shape)(shape, fields)
-                rows.append((quoting, columns, edits, None if quoting or columns else split_fields(line)))
-            out = pd.DataFrame(rows, columns=["quoting", "columns", "edits", "fields"])
-            yield out.astype({"quoting": "Int32", "columns": "Int32"})
-
-    return lines.withColumn("parsed", run(lines[raw_col]))
+        for shapes in batches:
+            codes, distinct = pd.factorize(shapes)
+            parsed = [(_remembered if len(x) <= REMEMBERED else parse_shape)(x, fields) for x in distinct]
+            rows = pd.DataFrame([*parsed, (0, 0, "")], columns=["quoting", "columns", "edits"])  # the last one for null
+            yield rows.astype({"quoting": "int32", "columns": "int32"}).iloc[codes].reset_index(drop=True)
+
+    raw = lines[raw_col]
+    plain = ~F.contains(raw, F.lit(QUOTE)) & (F.length(raw) - F.length(F.replace(raw, F.lit(DELIMITER), F.lit(""))) == fields - 1)
+    cost = lines.withColumn("__plain", plain).withColumn("__cost", run(F.when(~F.col("__plain"), shape_of(raw))))
+    zero = F.col("__cost.columns") == 0
+    held = F.when(F.col("__plain"), F.split(raw, DELIMITER)).when(zero, split_quoted(raw))
+    parsed = F.struct("__cost.quoting", "__cost.columns", "__cost.edits", held.alias("fields"))
+    return cost.select(*lines.columns, F.when(raw.isNotNull(), parsed).alias("parsed"))
 
 
 def _is_day(text: Column) -> Column:

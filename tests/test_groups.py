@@ -15,8 +15,8 @@ def words(df):
 
 @pytest.mark.parametrize(
     "lines, out",
-    [(["aa bb cc", "bb b", "a c"], ["a c", "aa b bb cc"]), (["aa bb cc", "bb b", "a c", "d c e", "bb f"], ["a c d e", "aa b bb cc f"]),
-     (["x"], []), (["x x"], [])],
+    [(["k7 m2 q9", "m2 r1", "t4 q0"], ["k7 m2 q9 r1", "q0 t4"]), (["one two", "three four", "two three", "five six"], ["five six", "four one three two"]),
+     (["solo"], []), (["twice twice"], [])],
 )
 def test_merge(spark, lines, out):
     assert words(G.merge_groups(sets(spark, lines))) == out
@@ -24,14 +24,30 @@ def test_merge(spark, lines, out):
 
 @pytest.mark.parametrize(
     "pairs, out",
-    [([(1, "a"), (1, "a")], ["a"]), ([(1, "a"), (1, "b")], ["a b"]), ([(1, "a"), (1, "b"), (1, "c"), (2, "b"), (2, "a")], ["a b c"]),
-     ([(1, "a"), (1, "b"), (2, "d"), (2, "c"), (3, "e"), (3, "a")], ["a b e", "c d"]),
-     ([(1, "a"), (1, "b"), (2, "d"), (2, "c"), (3, "e"), (3, "a"), (1, "c")], ["a b c d e"])],
+    [([(4, "p"), (4, "p")], ["p"]), ([(4, "q"), (4, "p")], ["p q"]), ([(9, "u"), (9, "v"), (8, "v"), (8, "w"), (7, "x"), (None, "x")], ["u v w", "x"])],
 )
 def test_connected_groups(spark, pairs, out):
     assert words(G.connected_groups(spark.createDataFrame(pairs, "s int, item string"), "s", "item")) == out
 
 
+@pytest.mark.parametrize("finish", [0, 40])
+def test_levels(spark, finish):
+    r = random.Random(5)
+    edges = [(f"g{i // 50}-{r.randrange(30)}", f"g{i // 50}-{r.randrange(30)}") for i in range(300)] + [("hub", f"h{i}") for i in range(50)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        low, high = sorted((find(a), find(b)))
+        parent[high] = low
+    got = G.component_labels(spark.createDataFrame(edges, "a string, b string"), finish).collect()
+    assert {r["item"]: r["label"] for r in got} == {x: find(x) for x in parent} and len(got) == len(parent)
+
+
 def test_long_chain_and_idempotence(spark):
     names = [f"w{i:03d}" for i in range(120)]
     random.Random(3).shuffle(names)

@@ -55,3 +55,33 @@ def test_squeeze_rows(spark, xs):
     rows = spark.createDataFrame(list(enumerate(xs)), "ord int, v int").repartition(3)
     got = [r["v"] for r in sorted(H.squeeze_rows(rows, "v", "ord").collect(), key=lambda r: r["ord"])]
     assert got == [x for i, x in enumerate(xs) if i == 0 or x != xs[i - 1]]
+
+
+@pytest.mark.parametrize("constant", [False, True])
+def test_squeeze_rows_keeps_other_columns(spark, constant):
+    rows = spark.range(20_000).selectExpr("id AS ord", "'x' AS same" if constant else "CAST(id % 7 < 4 AS string) AS same", "uuid() AS more", "id % 3 AS __p")
+    rows = H.Scratch(spark, "test").cut(rows).repartition(5)
+    got = [r["ord"] for r in H.squeeze_rows(rows, "same", "ord").collect()]
+    order = H.Window.orderBy("ord")
+    was = H.F.lag("same").over(order)
+    expected = rows.withColumn("was", was).withColumn("n", H.F.row_number().over(order)).where("n = 1 OR NOT same <=> was")
+    assert sorted(got) == sorted(r["ord"] for r in expected.collect())
+    assert not constant or got == [0]
+
+
+def test_multimap_rows(spark):
+    rows = spark.range(3000).selectExpr("id AS ord", "IF(id % 3 > 0, 'hot', IF(id % 2 = 0, NULL, CAST(id % 9 AS string))) AS k", "CAST(id % 5 AS int) AS v", "1 AS nth")
+    expected = {}
+    for r in sorted(rows.collect(), key=lambda r: r["ord"]):
+        expected.setdefault(r["k"], []).append(r["v"])
+    got = {}
+    for r in sorted(H.multimap_rows(rows.repartition(4), "k", "v", "ord").collect(), key=lambda r: r["nth"]):
+        assert r["nth"] == len(got.setdefault(r["k"], []))
+        got[r["k"]].append(r["v"])
+    assert got == expected
+    assert H.multimap_rows(rows.limit(0), "k", "v", "ord").count() == 0
+
+
+def test_members(spark):
+    rows = dictionary(spark, "cc/a bb/b cc/a aa/a b/x a/x")
+    assert sorted(map(tuple, H.homophone_members(rows).collect())) == [("a", "aa"), ("a", "cc"), ("x", "a"), ("x", "b")]

@@ -1,4 +1,5 @@
 import itertools
+import random
 import re
 
 import pytest
@@ -25,8 +26,12 @@ def plain_reason(line):
         at += 1
 
 
+def shape_of(line):
+    return re.sub(r'[^\t"]+', M.OTHER, line)
+
+
 def cost_reason(line, fields=5):
-    quoting, columns, edits = M.parse_shape(M.shape_of(line), fields)
+    quoting, columns, edits = M.parse_shape(shape_of(line), fields)
     assert (columns == 0) == (edits == "") and columns >= quoting
     return "quoting" if quoting else "columns" if columns else None
 
@@ -44,12 +49,14 @@ def test_long_shapes(line):
     assert cost_reason(line) == plain_reason(line)
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.text(alphabet='\t"xy ', max_size=6), min_size=5, max_size=5))
-def test_written_fields_come_back(values):
+def test_written_fields_come_back(spark):
+    r = random.Random(4)
+    values = ["".join(r.choices('\t"xy \n', k=r.randrange(7))) for _ in range(2000)] + ['a"b' * 50_000, '"\t' * 50_000, "", ""] * 5
     quote = lambda v: '"' + v.replace('"', '""') + '"' if "\t" in v or v[:1] == '"' else v
-    line = "\t".join(map(quote, values))
-    assert cost_reason(line) is None and M.split_fields(line) == values
+    rows = [(i, values[i : i + 5]) for i in range(0, len(values), 5)]
+    lines = spark.createDataFrame([(i, "\t".join(map(quote, v)), "x") for i, v in rows], "i int, raw string, parsed string").drop("parsed")
+    got = {x["i"]: x["parsed"] for x in M.parse(lines).collect()}
+    assert all((got[i]["quoting"], got[i]["columns"], got[i]["edits"], got[i]["fields"]) == (0, 0, "", v) for i, v in rows)
 
 
 def repaired(shape, edits):
@@ -68,16 +75,18 @@ def repaired(shape, edits):
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet='\t"x', max_size=12))
 def test_edits_repair_the_line(line):
-    shape = M.shape_of(line)
+    shape = shape_of(line)
     _, cost, edits = M.parse_shape(shape, 5)
     assert len(edits.split()) == cost
-    assert M.parse_shape(M.shape_of(repaired(shape, edits)), 5)[1] == 0
+    assert M.parse_shape(shape_of(repaired(shape, edits)), 5)[1] == 0
 
 
-def test_very_long_shape():
-    quoting, columns, edits = M.parse_shape('"x' * 15_000 + '\t' * 4, 5)
-    assert quoting > 0 and columns > 0 and edits == ""  # too long to trace
-    assert M.parse_shape('x\t' * 15_000 + 'x', 5) == (0, 2, "")  # a quote on either side hides the rest
+def test_very_long_shapes_keep_their_edits():
+    assert M.parse_shape('x\t' * 15_000 + 'x', 5)[:2] == (0, 2)  # a quote on either side hides the rest
+    for shape in ('"x' * 50_000 + '\t' * 4, 'x\t' * 50_000 + 'x', '"\t"x' * 3 * M.BLOCK, ('x' + '\t"x"x' * 9) * 700):
+        quoting, columns, edits = M.parse_shape(shape, 5)
+        assert len(edits.split()) == columns > 0
+        assert M.parse_shape(shape_of(repaired(shape, edits)), 5)[1] == 0
 
 
 LINES = [
