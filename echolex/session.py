@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -28,10 +33,12 @@ def local_session(cores: int = 8, partitions: int = 8, **settings: str) -> Spark
 
 
 _own_folder: str | None = None
+_made: list["Scratch"] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of `spark.checkpoint.dir`; only where that is unset (local tests) a temporary folder."""
+    """The folder of `spark.checkpoint.dir`. Where that is unset, a local session (tests, the command line) gets a folder
+    of its own that is removed at the end; any other is an error."""
     global _own_folder
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -40,9 +47,28 @@ def shared_folder(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if _own_folder is None:
         _own_folder = tempfile.mkdtemp(prefix="echolex-")
+        atexit.register(shutil.rmtree, _own_folder, ignore_errors=True)
     return f"file://{_own_folder}"
 
 
+@contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[None]:
+    """Removes what the operators called inside wrote to the shared folder, at the end. Their results read it, so they
+    have to be written or collected inside. Outside of such a block the folders `echolex-*` are the caller's to remove."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        while len(_made) > before:
+            made = _made.pop()
+            made.drop(made.root)
+
+
+def small_table(spark: SparkSession, **columns) -> DataFrame:
+    """A table of arrays that are known on the driver, as a relation whose size the planner knows."""
+    return spark.createDataFrame(pa.table(columns))
+
+
 class Scratch:
     """Tables written to the shared folder during one query.
 
@@ -54,6 +80,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/echolex-{name}-{uuid.uuid4().hex}"
         self.made = 0
+        _made.append(self)
 
     def write(self, df: DataFrame) -> str:
         self.made += 1
