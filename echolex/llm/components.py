@@ -3,8 +3,13 @@
 Method: low-diameter decomposition (Miller, Peng and Xu 2013). Every vertex draws an exponential shift; clusters grow
 from the shifted start times, one hop a round, and a vertex joins the cluster that reaches it first. The clusters are
 contracted to super-vertices, the edges between clusters are the next level's graph, and when none are left the
-assignments of all levels are composed. Each level keeps a constant fraction of the edges in expectation, so the number
-of levels is logarithmic for any shape of graph, long chains and hubs included.
+assignments of all levels are composed, one table a level. The last FINISH edges are decomposed the same way by one task.
+
+Shifts are capped at ROUNDS, so growth is complete after ROUNDS rounds: each level is exactly the decomposition for the
+capped shifts. The paper's bound on the edges cut holds for shifts without a cap, which need rounds in proportion to the
+logarithm of the vertices in each level; with the cap a fifth of the vertices start at time 0. What a level leaves was
+measured instead (README): 0.38 of the edges of the test data, 0.45 of a chain, 0.37 to 0.45 of a grid. Results don't
+depend on it.
 
 Vertices are numbered densely, never hashed, so unlike items can't be merged by accident. A label is one long, the time
 of arrival above the number of the center, and every aggregate is its `min`, combined before the shuffle; joins on a
@@ -13,15 +18,18 @@ hub's edges are split by adaptive execution. Levels are cut by tables in the sha
 
 from __future__ import annotations
 
+import logging
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echolex.session import Scratch
+from echolex.operators.contraction import FINISH, canonical, contracted
+from echolex.session import Scratch, small_table
 
 #: Rate of the exponential shifts, and the cap on a shift, that is the number of rounds in which clusters grow.
 RATE = 0.4
 ROUNDS = 4
-MOST_LEVELS = 200
 #: Bits of a label for the number of the center (2**40 vertices), and for the fraction of a time.
 CENTER_BITS, FRACTION_BITS = 40, 19
 HOP = 1 << (CENTER_BITS + FRACTION_BITS)
@@ -59,49 +67,42 @@ def _numbered(items: DataFrame, scratch: Scratch) -> DataFrame:
     sizes["offset"] = sizes["n"].cumsum() - sizes["n"]
     if sizes["n"].sum() >= 1 << CENTER_BITS:
         raise ValueError("too many items")
-    offsets = [(int(p), int(o)) for p, o in zip(sizes["part"], sizes["offset"])] or [(-1, 0)]
-    known = items.sparkSession.createDataFrame(offsets, "part bigint, offset bigint")
-    return rows.withColumn("part", part).join(F.broadcast(known), "part").select("item", (row + F.col("offset")).alias("number"))
+    known = small_table(items.sparkSession, part=sizes["part"], offset=sizes["offset"])
+    return rows.withColumn("part", part).join(known, "part").select("item", (row + F.col("offset")).alias("number"))
+
+
+def _grow_here(seed: int):
+    """`_grow` over arrays, for the remainder that one task finishes."""
 
+    def grow(a: np.ndarray, b: np.ndarray, size: int, level: int) -> np.ndarray:
+        shifts = np.minimum(np.random.default_rng((seed, level)).exponential(1 / RATE, size), ROUNDS)
+        label = np.floor((ROUNDS - shifts) * (1 << FRACTION_BITS)).astype(np.int64) << CENTER_BITS | np.arange(size)
+        for _ in range(ROUNDS):
+            then = label.copy()
+            np.minimum.at(then, b, label[a] + HOP)
+            np.minimum.at(then, a, label[b] + HOP)
+            label = then
+        return label & ((1 << CENTER_BITS) - 1)
 
-def decompose(edges: DataFrame, seed: int = 0) -> DataFrame:
+    return grow
+
+
+def decompose(edges: DataFrame, seed: int = 0, finish: int = FINISH) -> DataFrame:
     """(v, root) for every end of the (a, b) edges: `root`, a number, is the same for two vertices iff a chain links
     them.
 
     Loops and rows with a null end count for nothing, repeated edges once; a table without edges gives no rows.
+    `finish`: how many edges are left to one task.
     """
     scratch = Scratch(edges.sparkSession, "components")
-
-    def canonical(df: DataFrame) -> DataFrame:
-        low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-        return df.where("a <> b").select(low, high).distinct()
-
     named = scratch.cut(canonical(edges.select("a", "b")))
     ends = named.select(F.col("a").alias("item")).unionByName(named.select(F.col("b").alias("item")))
     numbers = scratch.cut(_numbered(ends, scratch))
     a = numbers.select(F.col("item").alias("a"), F.col("number").alias("x"))
     b = numbers.select(F.col("item").alias("b"), F.col("number").alias("y"))
-    at = scratch.write(named.join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
-    levels: list[DataFrame] = []
-    for level in range(MOST_LEVELS):
-        now = scratch.read(at)
-        if now.isEmpty():
-            break
-        labels = scratch.cut(_grow(now, level, seed))
-        levels.append(labels)
-        a = labels.select(F.col("v").alias("a"), F.col("center").alias("x"))
-        b = labels.select(F.col("v").alias("b"), F.col("center").alias("y"))
-        between = now.join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        then = scratch.write(canonical(between))
-        scratch.drop(at)
-        scratch.release()
-        at = then
-    else:
-        raise RuntimeError(f"edges are left after {MOST_LEVELS} levels")
-    roots = numbers.select(F.col("number").alias("v"), F.col("number").alias("root")).limit(0)
-    for labels in reversed(levels):
-        upper = roots.select(F.col("v").alias("center"), "root")
-        roots = labels.join(upper, "center", "left").select("v", F.coalesce("root", "center").alias("root"))
+    linked = named.join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    roots, left = contracted(linked, scratch, lambda now, level: _grow(now, level, seed), _grow_here(seed), finish)
+    logging.getLogger(__name__).info("edges before each level: %s", left)
     return scratch.cut(numbers.join(roots, F.col("number") == F.col("v")).select(F.col("item").alias("v"), "root"))
 
 

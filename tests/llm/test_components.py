@@ -52,6 +52,17 @@ def test_long_chain(spark):
     assert found(spark, sets) == union_find(sets)
 
 
+@pytest.mark.parametrize("finish", [0, 30])
+def test_levels(spark, finish):
+    sets = [["hub", f"h{i}"] for i in range(40)] + [[f"c{i}", f"c{i + 1}"] for i in range(40)] + [[f"g{i}", f"g{i + 7}"] for i in range(60)]
+    edges = spark.createDataFrame(sets, "a string, b string")
+    got = C.decompose(edges, finish=finish).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault(r["root"], []).append(r["v"])
+    assert sorted((x, min(g)) for g in groups.values() for x in g) == union_find(sets)
+
+
 @settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.lists(st.integers(0, 30).map(str), max_size=3), min_size=1, max_size=25), st.integers(0, 5))
 def test_any_sets_and_seeds(spark, sets, seed):
