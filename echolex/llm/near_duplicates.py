@@ -8,11 +8,13 @@ similarity of at least `threshold` share an n-gram in their prefixes of |x| - ce
    places of the common n-gram leave room for enough common members, and if the members' bitmaps don't already
    prove too many differences (for a group, the bits that all members have against those that any has).
 3. Pairs of groups are expanded to the different sets in them, and each is verified on the exact n-grams.
-4. Sets are expanded to records.
+4. The result is pairs of different texts and, for each record, the text it has. Groups of linked records and link
+   counts come from these; pairs of records, copies with copies included, only where a caller asks for them.
 
 The order is by a table of counts over all records, hashed to a fixed number of counters; any order gives the same
-pairs, so it is bounded without loss. The join of one n-gram is a grid of cells whose side follows its count, so a
-frequent n-gram is split over many tasks. The filters of a cell run in numpy over whole blocks.
+pairs, so it is bounded without loss. The join of one n-gram is a grid of cells whose side follows the number of
+prefixes that have it, so a frequent n-gram is split over many tasks. The members of a large group meet in such a grid,
+too. The filters of a cell run in numpy over whole blocks, and so does the verification.
 """
 
 from __future__ import annotations
@@ -25,16 +27,22 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from echolex.llm import components
 from echolex.session import Scratch
 
 #: Counters of the table of n-gram counts: a fixed 512 KB, whatever the number of records or of different n-grams.
 COUNTERS = 1 << 16
-#: Records of one n-gram on one side of a cell of the join, at most about so many.
+#: Entries of one n-gram on one side of a cell of the join, about so many at most.
 CELL = 8192
+#: Which side of the join an entry stands on: the smaller set of a pair, the larger one, or, in an undivided n-gram, both.
+SMALLER, LARGER, EITHER = range(3)
 #: Words of 64 bits in the bitmap of a set.
 WORDS = 4
-#: Entries of one side of a block compared at once.
-BLOCK = 2048
+#: Entries of the larger side of a block compared at once (a power of 2, so that places in it are cheap to take apart),
+#: and of the smaller side.
+BLOCK, ROWS = 2048, 256
+#: Grams of all pairs verified at once.
+VERIFIED = 2_000_000
 
 
 def _spread(x: np.ndarray) -> np.ndarray:
@@ -79,6 +87,11 @@ def prefix_size(size: np.ndarray, threshold: float) -> np.ndarray:
     return size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
 
 
+def _short(size: np.ndarray, threshold: float) -> np.ndarray:
+    """The prefix that is enough for the smaller set of a pair."""
+    return prefix_size(size, 2 * threshold / (1 + threshold))
+
+
 def _few_rows(batches: Iterator[pa.RecordBatch], bytes_at_once: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = max(1, batch.num_rows * bytes_at_once // max(1, batch.nbytes))
@@ -97,7 +110,11 @@ def gram_counts(texts: DataFrame, n: int) -> np.ndarray:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], ["slot", "n"])
 
-    found = texts.select("text").mapInArrow(count, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    return _summed(texts.select("text").mapInArrow(count, "slot int, n bigint"))
+
+
+def _summed(counted: DataFrame) -> np.ndarray:
+    found = counted.groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(COUNTERS, np.int64)
     out[found["slot"].to_numpy()] = found["n"].to_numpy()
     return out
@@ -130,10 +147,31 @@ def _prefix_rows(texts: DataFrame, counts, n: int, threshold: float) -> DataFram
     return texts.select("text_id", "text").mapInArrow(run, out)
 
 
+def _entry_counts(held: DataFrame) -> np.ndarray:
+    """Counts of the entries of the column `prefix`, hashed to COUNTERS slots: how large the join of each n-gram gets."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            total += np.bincount(_slot(batch.column(0).flatten().to_numpy().view(np.uint64)), minlength=COUNTERS)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], ["slot", "n"])
+
+    return _summed(held.select("prefix").mapInArrow(count, "slot int, n bigint"))
+
+
+def cell_numbers(own: np.ndarray, side_cells: np.ndarray, smaller: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(entry, cell) for each cell that an entry goes to: a row of the grid on the smaller side, a column on the larger."""
+    at = np.repeat(np.arange(len(own)), side_cells)
+    other = np.arange(len(at)) - np.repeat(np.cumsum(side_cells) - side_cells, side_cells)
+    width = side_cells[at].astype(np.int64)
+    return at, own[at] * width + other if smaller else other * width + own[at]
+
+
 def _cells(groups: DataFrame, counts, threshold: float) -> DataFrame:
-    """(gram, cell, side, size, place, group_id, all_bits, any_bits): the entries of the join. Side 0 is the smaller
-    set of a pair, of which a shorter prefix is enough; side 1 the larger one. `any_bits` is null where it equals
-    `all_bits`, that is in a group of one set."""
+    """(gram, cell, side, size, place, id, all_bits, any_bits) of (id, size, prefix, bitmaps): the entries of the join.
+    The smaller set of a pair needs only a shorter prefix. `any_bits` is null where it equals `all_bits`, that is in a
+    group of one set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counts.value
@@ -151,24 +189,22 @@ def _cells(groups: DataFrame, counts, threshold: float) -> DataFrame:
             high = pc.if_else(pa.array(one), pa.scalar(None, pa.binary()), high)
             side_cells = np.maximum(1, -(-table[_slot(gram.view(np.uint64))] // CELL))
             own = (_spread(ids[row].astype(np.uint64)) >> np.uint64(33)).astype(np.int64) % side_cells
-            short = prefix_size(size, 2 * threshold / (1 + threshold))
-            parts = []
-            for side in (0, 1):
-                use = np.flatnonzero(place < short[row]) if side == 0 else np.arange(len(gram))
-                times = side_cells[use]
-                at = np.repeat(use, times)
-                other = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
-                cell = own[at] * side_cells[at] + other if side == 0 else other * side_cells[at] + own[at]
-                parts.append((at, cell, np.full(len(at), side)))
+            whole = np.flatnonzero(side_cells == 1)
+            parts = [(whole, np.zeros(len(whole), np.int64), np.full(len(whole), EITHER))]
+            split = np.flatnonzero(side_cells > 1)
+            for side in (SMALLER, LARGER):
+                use = split[place[split] < _short(size, threshold)[row[split]]] if side == SMALLER else split
+                at, cell = cell_numbers(own[use], side_cells[use], side == SMALLER)
+                parts.append((use[at], cell, np.full(len(at), side)))
             at, cell, side = (np.concatenate(p) for p in zip(*parts))
             pick = pa.array(row[at])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(gram[at]), pa.array(cell, pa.int32()), pa.array(side, pa.int8()), pa.array(size[row[at]], pa.int32()),
+                [pa.array(gram[at]), pa.array(cell, pa.int64()), pa.array(side, pa.int8()), pa.array(size[row[at]], pa.int32()),
                  pa.array(place[at], pa.int32()), batch.column(0).take(pick), low.take(pick), high.take(pick)],
-                ["gram", "cell", "side", "size", "place", "group_id", "all_bits", "any_bits"],
+                ["gram", "cell", "side", "size", "place", "id", "all_bits", "any_bits"],
             )
 
-    out = "gram bigint, cell int, side tinyint, size int, place int, group_id bigint, all_bits binary, any_bits binary"
+    out = "gram bigint, cell bigint, side tinyint, size int, place int, id bigint, all_bits binary, any_bits binary"
     return groups.mapInArrow(run, out)
 
 
@@ -180,36 +216,42 @@ def _maps(column: pa.Array) -> np.ndarray:
 
 
 def _cell_pairs(side, size, place, ids, low, high, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of groups of one n-gram and cell that pass all filters. Entries are in order of side and size."""
-    split = int(np.searchsorted(side, 1))
+    """The pairs of groups of one n-gram and cell that pass all filters. Entries are in order of size."""
     ratio = threshold / (1 + threshold)
+    small = np.flatnonzero((side != LARGER) & (place < _short(size, threshold)))
+    large = np.flatnonzero(side != SMALLER)
     kind = np.float32 if len(size) and size.max() < 20_000 else np.float64
     weight = (ratio * size).astype(kind)
     spare = (size - place - ratio * size + 0.01).astype(kind)
-    big = size[split:]
+    # what a set may have that the other hasn't, at most: the other is as large, or larger
+    most = np.minimum(size - np.ceil(2 * ratio * size - 1e-6), 255).astype(np.uint8)[small]
+    words = [np.ascontiguousarray(low[small, k]) for k in range(WORDS)]
+    absent = [np.ascontiguousarray(~high[large, k]) for k in range(WORDS)]
+    big, big_weight, big_spare = size[large], weight[large], spare[large]
     left, right = [], []
-    for start in range(0, split, BLOCK // 8):
-        stop = min(split, start + BLOCK // 8)
-        first = split + int(np.searchsorted(big, size[start]))
-        last = split + int(np.searchsorted(big, size[stop - 1] / threshold + 0.01, "right"))
+    for start in range(0, len(small), ROWS):
+        rows = small[start : start + ROWS]
+        first = int(np.searchsorted(big, size[rows[0]]))
+        last = int(np.searchsorted(big, size[rows[-1]] / threshold + 0.01, "right"))
         for y in range(first, last, BLOCK):
             z = min(last, y + BLOCK)
-            fits = spare[start:stop, None] >= weight[None, y:z]
-            fits &= spare[None, y:z] >= weight[start:stop, None]
-            i, j = np.nonzero(fits)
-            if not len(i):
-                continue
-            i += start
-            j += y
+            fits = np.zeros((len(rows), BLOCK), bool)
+            np.greater_equal(spare[rows, None], big_weight[None, y:z], out=fits[:, : z - y])
+            fits[:, : z - y] &= big_spare[None, y:z] >= weight[rows, None]
+            flat = np.flatnonzero(fits)
+            i, j = flat // BLOCK + start, flat % BLOCK + y
+            apart = np.zeros(len(i), np.uint8)
+            for k in range(WORDS):  # a sum that would not fit into a byte is capped, which lets the pair pass on
+                apart = np.minimum(apart, 191) + np.bitwise_count(words[k].take(i) & absent[k].take(j))
+                if k:
+                    keep = np.flatnonzero(apart <= most.take(i))
+                    i, j, apart = i.take(keep), j.take(keep), apart.take(keep)
+            i, j = small[i], large[j]
             once = (size[i] < size[j]) | ((size[i] == size[j]) & (ids[i] < ids[j]))
-            i, j = i[once], j[once]
+            i, j, apart = i[once], j[once], apart[once]
             room = size[i] - np.ceil(ratio * (size[i] + size[j]) - 1e-6)
-            apart = np.zeros(len(i), np.int64)
-            for half in (slice(0, WORDS // 2), slice(WORDS // 2, WORDS)):
-                apart += np.bitwise_count(low[i, half] & ~high[j, half]).sum(1, dtype=np.int64)
-                keep = apart <= room
-                i, j, room, apart = i[keep], j[keep], room[keep], apart[keep]
             keep = np.bitwise_count(low[j] & ~high[i]).sum(1, dtype=np.int64) <= room + size[j] - size[i]
+            keep &= apart <= room
             left.append(ids[i[keep]])
             right.append(ids[j[keep]])
     if not left:
@@ -217,8 +259,8 @@ def _cell_pairs(side, size, place, ids, low, high, threshold: float) -> tuple[np
     return np.concatenate(left), np.concatenate(right)
 
 
-def _group_pairs(cells: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): pairs of group ids that pass the filters, each once."""
+def _close_pairs(cells: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): pairs of ids that pass the filters, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple[np.ndarray, ...]] = []
@@ -233,7 +275,7 @@ def _group_pairs(cells: DataFrame, threshold: float) -> DataFrame:
             if waiting:
                 _, _, side, size, place, ids, low, high = (np.concatenate(x) for x in zip(*waiting))
                 waiting.clear()
-                if side[0] == 0 and side[-1] == 1:
+                if len(ids) > 1:
                     found.append(_cell_pairs(side, size.astype(np.int64), place, ids, low, high, threshold))
 
         def flush() -> pa.RecordBatch:
@@ -258,36 +300,65 @@ def _group_pairs(cells: DataFrame, threshold: float) -> DataFrame:
         if found:
             yield flush()
 
-    by_cell = cells.repartition("gram", "cell").sortWithinPartitions("gram", "cell", "side", "size")
+    by_cell = cells.repartition("gram", "cell").sortWithinPartitions("gram", "cell", "size")
     return by_cell.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _numbered_grams(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(record, number, numbers in all) of the different n-grams of each text, in order; equal numbers only for equal
+    n-grams."""
+    if n <= 3:
+        record, gram = gram_sets(texts, n)
+        held, number = np.unique(gram, return_inverse=True)
+        return record, number, len(held)
+    names: dict[str, int] = {}
+    sets = [sorted({names.setdefault(t[i : i + n], len(names)) for i in range(len(t) - n + 1)}) for t in texts]
+    record = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    return record, np.array([g for x in sets for g in x], np.int64), len(names)
+
+
+def common_members(record: np.ndarray, number: np.ndarray, numbers: int, rows: int, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(members that the sets x and y of each pair have in common, members of both together)."""
+    size = np.bincount(record, minlength=rows)
+    start = np.cumsum(size) - size
+    common = np.zeros(len(x), np.int64)
+    step = max(1, VERIFIED * len(x) // max(1, int(size[x].sum() + size[y].sum())))
+    for low in range(0, len(x), step):
+        keys = []
+        for side in (x[low : low + step], y[low : low + step]):
+            pair = np.repeat(np.arange(len(side)), size[side])
+            nth = np.arange(len(pair)) - np.repeat(np.cumsum(size[side]) - size[side], size[side])
+            keys.append(pair * numbers + number[start[side][pair] + nth])
+        both = np.sort(np.concatenate(keys), kind="stable")  # merges two sorted runs
+        twice = both[1:][both[1:] == both[:-1]] // numbers
+        common[low : low + step] += np.bincount(twice, minlength=len(common[low : low + step]))
+    return common, size[x] + size[y] - common
+
+
 def _verify(pairs: DataFrame, n: int, threshold: float) -> DataFrame:
     """The (a, b, text_a, text_b) rows whose exact similarity is at least the threshold, as (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def grams(text: str) -> set[str]:
-            return {text[i : i + n] for i in range(len(text) - n + 1)}
-
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                p, q = grams(x), grams(y)
-                common = len(p & q)
-                keep.append(common >= threshold * (len(p) + len(q) - common) - 1e-9)
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        for batch in _few_rows(batches):
+            texts = pa.concat_arrays([batch.column(2), batch.column(3)]).dictionary_encode()
+            at = texts.indices.to_numpy().astype(np.int64)
+            record, number, numbers = _numbered_grams(texts.dictionary.to_pylist(), n)
+            x, y = at[: batch.num_rows], at[batch.num_rows :]
+            common, whole = common_members(record, number, numbers, len(texts.dictionary), x, y)
+            yield batch.select([0, 1]).filter(pa.array(common >= threshold * whole - 1e-9, pa.bool_()))
 
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def similar_pairs(
+def similar_texts(
     records: DataFrame, id_col: str = "phrase_id", text_col: str = "phonemes", n: int = 3, threshold: float = 0.6
-) -> DataFrame:
-    """(a, b), a < b: all pairs of ids whose texts' sets of different n-grams (of characters) have a Jaccard similarity
-    of at least `threshold`.
+) -> tuple[DataFrame, DataFrame]:
+    """(members, pairs): members (id, text_id, copies), one row for each record that is a case, with the smallest id
+    that has the same text and the number of those that have it; and pairs (a, b) of all text ids whose sets of
+    different n-grams (of characters) have a Jaccard similarity of at least `threshold`, each once, a <> b.
 
-    Null texts, texts shorter than `n` and rows with a null id are no case. Copies of a text are pairs like any other.
-    Ids are unique longs. An empty table gives no rows; other columns don't matter.
+    Null texts, texts shorter than `n` and rows with a null id are no case. Ids are unique longs. An empty table gives
+    no rows; other columns don't matter.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
@@ -306,30 +377,64 @@ def similar_pairs(
     )
     groups = scratch.cut(groups)
     names = [f"{x}{i}" for x in "lh" for i in range(WORDS)]
-    near = _group_pairs(_cells(groups.select("group_id", "size", "prefix", *names), counts, threshold), threshold)
-    # groups of one set are their set; others are expanded, also against themselves
+
+    def joined(entries: DataFrame) -> DataFrame:
+        return _close_pairs(_cells(entries, spark.sparkContext.broadcast(_entry_counts(entries)), threshold), threshold)
+
+    near = joined(groups.select("group_id", "size", "prefix", *names))
+    # groups of one set are their set; others are expanded, and their members meet under the key they have in common
     large = groups.where("members > 1").select("k1", "k2", "group_id")
-    members = prefixes.join(large, ["k1", "k2"]).select("group_id", "text_id")
+    members = scratch.cut(prefixes.join(large, ["k1", "k2"]))
+    own = [F.col(f"b{i}").alias(f"{x}{i}") for x in "lh" for i in range(WORDS)]
+    inside = joined(members.select("text_id", "size", F.array(F.xxhash64("k1", "k2")).alias("prefix"), *own))
 
     def expand(pairs: DataFrame, side: str) -> DataFrame:
         of = members.select(F.col("group_id").alias(side), F.col("text_id").alias("member"))
         return pairs.join(of, side, "left").withColumn(side, F.coalesce("member", side)).drop("member")
 
-    inside = members.alias("x").join(members.alias("y"), "group_id").where("x.text_id < y.text_id")
-    inside = inside.select(F.col("x.text_id").alias("a"), F.col("y.text_id").alias("b"))
-    candidates = expand(expand(near, "a"), "b").select("a", "b").unionByName(inside)
-    candidates = scratch.cut(candidates)
+    candidates = scratch.cut(expand(expand(near, "a"), "b").select("a", "b").unionByName(inside))
     texts_a = texts.select(F.col("text_id").alias("a"), F.col("text").alias("text_a"))
     texts_b = texts.select(F.col("text_id").alias("b"), F.col("text").alias("text_b"))
-    verified = _verify(candidates.join(texts_a, "a").join(texts_b, "b"), n, threshold)
-    copied = rows.join(texts.where("copies > 1"), "text").select("text_id", "id")
+    pairs = scratch.cut(_verify(candidates.join(texts_a, "a").join(texts_b, "b"), n, threshold))
+    return rows.join(texts, "text").select("id", "text_id", "copies"), pairs
+
+
+def similar_pairs(
+    records: DataFrame, id_col: str = "phrase_id", text_col: str = "phonemes", n: int = 3, threshold: float = 0.6
+) -> DataFrame:
+    """(a, b), a < b: `similar_texts` as pairs of record ids, copies of one text included. As many rows as there are
+    similar pairs: the square of the copies of a text, among others; `similar_groups` has one row for each record."""
+    members, pairs = similar_texts(records, id_col, text_col, n, threshold)
+    copied = members.where("copies > 1").select("text_id", "id")
 
-    def copies(pairs: DataFrame, side: str) -> DataFrame:
+    def copies(rows: DataFrame, side: str) -> DataFrame:
         of = copied.select(F.col("text_id").alias(side), F.col("id").alias("copy"))
-        return pairs.join(of, side, "left").withColumn(side, F.coalesce("copy", side)).drop("copy")
+        return rows.join(of, side, "left").withColumn(side, F.coalesce("copy", side)).drop("copy")
 
-    between = copies(copies(verified, "a"), "b").select("a", "b")
+    between = copies(copies(pairs, "a"), "b")
     same = copied.alias("x").join(copied.alias("y"), "text_id").where("x.id < y.id")
     same = same.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    both = between.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return both.unionByName(same)
+    return between.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(same)
+
+
+def similar_groups(
+    records: DataFrame, id_col: str = "phrase_id", text_col: str = "phonemes", n: int = 3, threshold: float = 0.6
+) -> DataFrame:
+    """(`id_col`, group_id, n_links): one row for each record with an id. `group_id` is the smallest id that it is linked
+    to over any chain of similar records; `n_links` counts the records similar to it, copies included. A record that is
+    no case is a group of its own with no links."""
+    members, pairs = similar_texts(records, id_col, text_col, n, threshold)
+    texts = members.where("id = text_id").select("text_id", "copies")
+    ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    of = ends.join(texts.select(F.col("text_id").alias("b"), "copies"), "b")
+    links = of.groupBy(F.col("a").alias("text_id")).agg(F.sum("copies").alias("links"))
+    roots = components.decompose(pairs)
+    least = roots.groupBy("root").agg(F.min("v").alias("least"))
+    known = roots.join(least, "root").select(F.col("v").alias("text_id"), "least").join(links, "text_id")
+    found = members.join(known, "text_id", "left").select(
+        F.col("id"), F.coalesce("least", "text_id").alias("least"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")
+    )
+    ids = records.select(records[id_col].cast("bigint").alias("id")).dropna()
+    return ids.join(found, "id", "left").select(
+        F.col("id").alias(id_col), F.coalesce("least", "id").alias("group_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links")
+    )

@@ -37,6 +37,10 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.col("a").alias("phrase_id_a"), F.col("b").alias("phrase_id_b"))
 
 
+def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.similar_groups(table(spark, folder, "phrases"), n=GRAM, threshold=SIMILARITY)
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     rows, keys, symbols = (table(spark, folder, t) for t in ("dictionary", "sound_keys", "ipa_symbols"))
     return lookalikes.match_reference(rows, keys, symbols)
@@ -69,7 +73,7 @@ def p8_share(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (p1_found, p3_found, p3_collapsed, p4_found, p5_found, p6_ids, p6_counts, p7_containers, p8_found, p8_share)
+    made = (p1_found, p3_found, p3_collapsed, p4_found, p4_groups, p5_found, p6_ids, p6_counts, p7_containers, p8_found, p8_share)
     return {f.__name__: f for f in made}
 
 
@@ -118,6 +122,20 @@ _CLASSES = f"""
       WHERE written <> '' GROUP BY ALL HAVING count(*) > 1)"""
 
 
+_PHRASE_PAIRS = f"""
+    grams AS (
+      SELECT DISTINCT phrase_id, substring(phonemes, i::INT, {GRAM}) AS gram
+      FROM (SELECT phrase_id, phonemes, unnest(range(1, length(phonemes) - {GRAM - 2})) AS i FROM phrases
+            WHERE length(phonemes) >= {GRAM})),
+    sizes AS (SELECT phrase_id, count(*) AS n FROM grams GROUP BY phrase_id),
+    common AS (
+      SELECT x.phrase_id AS a, y.phrase_id AS b, count(*) AS n
+      FROM grams x JOIN grams y ON x.gram = y.gram AND x.phrase_id < y.phrase_id GROUP BY ALL),
+    pairs AS (
+      SELECT c.a, c.b FROM common c JOIN sizes x ON x.phrase_id = c.a JOIN sizes y ON y.phrase_id = c.b
+      WHERE 10 * c.n >= {round(10 * SIMILARITY)} * (x.n + y.n - c.n))"""
+
+
 def oracle_sql() -> dict[str, str]:
     """p6 and p7 have no SQL: byte-pair merges and bin packing are held against other implementations in the tests."""
     return {
@@ -138,18 +156,16 @@ def oracle_sql() -> dict[str, str]:
             found AS (SELECT ord, keep_ord, copies FROM cases JOIN classes USING (lang, phonemes, written))
             SELECT d.ord, d.word, coalesce(f.copies, 1)::BIGINT AS n_copies
             FROM dictionary d LEFT JOIN found f ON d.ord = f.ord WHERE f.keep_ord IS NULL OR f.keep_ord = d.ord""",
-        "p4_found": f"""
-            WITH grams AS (
-              SELECT DISTINCT phrase_id, substring(phonemes, i::INT, {GRAM}) AS gram
-              FROM (SELECT phrase_id, phonemes, unnest(range(1, length(phonemes) - {GRAM - 2})) AS i FROM phrases
-                    WHERE length(phonemes) >= {GRAM})),
-            sizes AS (SELECT phrase_id, count(*) AS n FROM grams GROUP BY phrase_id),
-            common AS (
-              SELECT x.phrase_id AS a, y.phrase_id AS b, count(*) AS n
-              FROM grams x JOIN grams y ON x.gram = y.gram AND x.phrase_id < y.phrase_id GROUP BY ALL)
-            SELECT c.a AS phrase_id_a, c.b AS phrase_id_b
-            FROM common c JOIN sizes x ON x.phrase_id = c.a JOIN sizes y ON y.phrase_id = c.b
-            WHERE 10 * c.n >= {round(10 * SIMILARITY)} * (x.n + y.n - c.n)""",
+        "p4_found": f"WITH {_PHRASE_PAIRS} SELECT a AS phrase_id_a, b AS phrase_id_b FROM pairs",
+        "p4_groups": f"""
+            WITH RECURSIVE {_PHRASE_PAIRS},
+            links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+            reached(phrase_id, other) AS (
+              SELECT a, a FROM links UNION SELECT r.phrase_id, links.b FROM reached r JOIN links ON links.a = r.other),
+            least AS (SELECT phrase_id, min(other) AS group_id FROM reached GROUP BY phrase_id),
+            counts AS (SELECT a AS phrase_id, count(*) AS n FROM links GROUP BY a)
+            SELECT phrase_id, coalesce(group_id, phrase_id) AS group_id, coalesce(n, 0)::BIGINT AS n_links
+            FROM phrases LEFT JOIN least USING (phrase_id) LEFT JOIN counts USING (phrase_id)""",
         "p5_found": _p5_sql(),
         "p8_found": f"WITH {_spans_sql()} SELECT doc_id, start_pos, end_pos FROM runs",
         "p8_share": f"""

@@ -49,9 +49,31 @@ def test_frequent_grams_are_split(spark, monkeypatch):
     assert sorted(map(tuple, N.similar_pairs(df).collect())) == brute(rows, 3, 0.6)
 
 
+def test_cells_of_a_counter_beyond_32_bits():
+    side = np.array([100_000])
+    at, rows = N.cell_numbers(np.array([99_999]), side, True)
+    _, columns = N.cell_numbers(np.array([70_000]), side, False)
+    assert rows.dtype == np.int64 and rows.max() == 100_000**2 - 1 and len(at) == 100_000
+    assert np.intersect1d(rows, columns).tolist() == [99_999 * 100_000 + 70_000]
+
+
+def test_groups_and_members(spark, monkeypatch):
+    monkeypatch.setattr(N, "CELL", 16)
+    for rows in (list(enumerate(texts(7))), [(i, f"common phrase number {i % 40} of all") for i in range(120)]):
+        df = spark.createDataFrame([(i, t, "clash", 1) for i, t in rows] + [(None, "abc", "", 0)], "phrase_id long, phonemes string, id string, text_id int")
+        pairs = brute(rows, 3, 0.6)
+        group, links = {i: i for i, _ in rows}, {i: 0 for i, _ in rows}
+        for i, j in pairs:
+            links[i], links[j] = links[i] + 1, links[j] + 1
+            low, high = sorted((group[i], group[j]))
+            group = {k: low if g == high else g for k, g in group.items()}
+        got = N.similar_groups(df).collect()
+        assert sorted(map(tuple, got)) == sorted((i, group[i], links[i]) for i, _ in rows)
+
+
 def test_nothing(spark):
     df = spark.createDataFrame([], "phrase_id long, phonemes string")
-    assert N.similar_pairs(df).count() == 0
+    assert N.similar_pairs(df).count() == 0 and N.similar_groups(df).count() == 0
     with pytest.raises(ValueError):
         N.similar_pairs(df, threshold=0)
 
