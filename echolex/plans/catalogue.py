@@ -209,7 +209,7 @@ def language_profiles(spark: SparkSession, folder: str) -> DataFrame:
 
 def detect_language(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "lang", "text")
-    return detect.detect(documents, detect.learned(documents)).select(F.col("id").alias("doc_id"), "language")
+    return detect.cross_detect(documents).select(F.col("id").alias("doc_id"), "language")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -303,6 +303,72 @@ def _parsed_sql() -> str:
           FROM parsed)"""
 
 
+def _detect_sql() -> str:
+    """`detect_language` in full: halves, profiles, confirmed labels, scores and scripts."""
+
+    def grams(rows: str) -> str:
+        """(key, gram, n) of (key, text)."""
+        return rf"""
+          SELECT key, gram, sum(n) AS n FROM (
+            SELECT key, n, substring(w, i::INT, 3) AS gram FROM (
+              SELECT key, n, w, unnest(range(1, length(w) - 1)) AS i FROM (
+                SELECT key, ' ' || word || ' ' AS w, count(*) AS n
+                FROM (SELECT key, unnest(regexp_split_to_array(lower(text), '[^\p{{L}}]+')) AS word FROM ({rows}))
+                WHERE word <> '' GROUP BY ALL))) GROUP BY ALL"""
+
+    scripts = " ".join(
+        rf"WHEN len(regexp_extract_all(outside, '\p{{{script}}}')) * {3 if script == 'Hiragana' else 2} > letters THEN '{code}'"
+        for script, code in detect.SCRIPTS.items()
+    )
+    early = detect.PROFILE + 1
+    return rf"""
+        WITH labelled AS (
+          SELECT doc_id, nullif(lower({_trim("lang")}), '') AS label, text, md5(text) AS hash FROM documents),
+        parity AS (SELECT *, contains('13579bdf', right(hash, 1))::INT AS odd FROM labelled),
+        ends AS (SELECT label AS l, max(hash) AS high, min(odd) <> max(odd) AS mixed, count(text) AS n FROM parity GROUP BY label),
+        docs AS (
+          SELECT doc_id, label, text, n, coalesce(CASE WHEN mixed THEN odd ELSE (hash = high)::INT END, odd, 0) AS half
+          FROM parity JOIN ends ON label IS NOT DISTINCT FROM l),
+        learnt AS (
+          SELECT (1 - left(key, 1)::INT) AS half, substring(key, 2) AS lang, gram, rank FROM (
+            SELECT key, gram, row_number() OVER (PARTITION BY key ORDER BY n DESC, gram) AS rank FROM (
+              {grams("SELECT half || label AS key, text FROM docs WHERE label IS NOT NULL AND text IS NOT NULL")}))
+          WHERE rank <= {detect.PROFILE}),
+        own AS MATERIALIZED ({grams("SELECT doc_id AS key, text FROM docs WHERE text IS NOT NULL")}),
+        scored AS (
+          SELECT doc_id, label, d.n, lang, sum(o.n * ({early} - rank)) AS score
+          FROM docs d JOIN own o ON o.key = d.doc_id JOIN learnt l ON l.half = d.half AND l.gram = o.gram GROUP BY ALL),
+        votes AS (
+          SELECT s.label, s.doc_id, max(CASE WHEN lang = s.label THEN score END) >= max(score) AS won
+          FROM scored s JOIN ends r ON r.l = s.lang WHERE s.label IS NOT NULL AND r.n >= s.n GROUP BY ALL),
+        confirmed AS (
+          SELECT l AS lang FROM ends LEFT JOIN votes ON votes.label = l WHERE l IS NOT NULL
+          GROUP BY l, n HAVING 2 * count(*) FILTER (won) >= n),
+        kept AS (
+          SELECT lang FROM confirmed UNION SELECT l FROM ends WHERE l IS NOT NULL AND NOT EXISTS (FROM confirmed)),
+        chosen AS (SELECT * FROM learnt SEMI JOIN kept USING (lang)),
+        shared AS (
+          SELECT half, gram, {early} - max(rank) AS least FROM chosen GROUP BY half, gram
+          HAVING count(*) > 1 AND count(*) = (SELECT count(DISTINCT lang) FROM chosen c WHERE c.half = chosen.half)),
+        plain AS (
+          SELECT half, lang, gram, rank + coalesce(least, 0) AS rank FROM chosen LEFT JOIN shared USING (half, gram)
+          WHERE rank + coalesce(least, 0) <= {detect.PROFILE}),
+        final AS (
+          SELECT doc_id, lang, sum(o.n * ({early} - rank)) AS score
+          FROM docs d JOIN own o ON o.key = d.doc_id JOIN plain p ON p.half = d.half AND p.gram = o.gram GROUP BY ALL),
+        ranked AS (
+          SELECT doc_id, list(lang ORDER BY score DESC, lang) AS langs, list(score ORDER BY score DESC, lang) AS scores
+          FROM final GROUP BY doc_id),
+        letters AS (
+          SELECT doc_id, length(regexp_replace(coalesce(text, ''), '\P{{L}}+', '', 'g')) AS letters,
+                 regexp_replace(coalesce(text, ''), '[\p{{Latin}}\P{{L}}]+', '', 'g') AS outside FROM documents)
+        SELECT doc_id, coalesce(
+            CASE WHEN length(outside) * 3 > letters THEN CASE {scripts} END END,
+            CASE WHEN letters >= {detect.LEAST_LETTERS}
+              AND 100 * letters * scores[1] >= ({detect.LEAD} * letters + {detect.SHORT}) * coalesce(scores[2], 0) THEN langs[1] END) AS language
+        FROM letters LEFT JOIN ranked USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Without SQL: distance 2 (held against brute force in the tests), the phonemiser's rules, which need look-ahead,
     and language detection (held-out accuracy in the tests)."""
@@ -396,6 +462,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT ord, filename FROM dictionary LEFT JOIN (
               SELECT lang, filename FROM voices QUALIFY row_number() OVER (PARTITION BY lang ORDER BY priority DESC, filename) = 1)
             USING (lang)""",
+        "detect_language": _detect_sql(),
         "language_profiles": rf"""
             WITH words AS (
               SELECT lang, ' ' || word || ' ' AS w, count(*) AS n

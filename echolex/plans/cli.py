@@ -73,9 +73,8 @@ def _create(spark, args, folder: str) -> None:
     rows = text.ordered_lines(spark, _spooled([args.input] if args.input else [], folder))
 
     def guess() -> str:
-        if not args.samples:
-            raise EOFError("not enough text for language detection")
-        return detect.detect_file(rows, detect.profiles(spark.read.parquet(args.samples)))[0]
+        known = detect.profiles(spark.read.parquet(args.samples)) if args.samples else None
+        return detect.detect_file(rows, known)[0]
 
     language = args.language
     if args.voice is None:
