@@ -36,8 +36,6 @@ SOUND_CLASSES = {
 }
 FROM = "".join(SOUND_CLASSES.values())
 TO = "".join(sound * len(symbols) for sound, symbols in SOUND_CLASSES.items())
-#: Modifier letters and combining marks, which carry stress, length and the like.
-MODIFIERS = "[ʰ-ͯ]"
 
 
 def normalize(phonemes: Column | str) -> Column:

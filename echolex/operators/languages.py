@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # The 69 detectable languages and their two-letter codes, in the detector's order.
-LANGUAGE_CODES = (
-    "Epo eo, Eng en, Rus ru, Cmn zh, Spa es, Por pt, Ita it, Ben bn, Fra fr, Deu de, Ukr uk, Kat ka, Ara ar, Hin hi, "
-    "Jpn jp, Heb he, Yid yi, Pol pl, Amh am, Jav jv, Kor ko, Nob nb, Dan da, Swe sv, Fin fi, Tur tr, Nld nl, Hun hu, "
-    "Ces cs, Ell el, Bul bg, Bel be, Mar mr, Kan kn, Ron ro, Slv sl, Hrv hr, Srp sr, Mkd mk, Lit lt, Lav lv, Est et, "
-    "Tam ta, Vie vi, Urd ur, Tha th, Guj gu, Uzb uz, Pan pa, Aze az, Ind id, Tel te, Pes fa, Mal ml, Ori or, Mya my, "
-    "Nep ne, Sin si, Khm km, Tuk tk, Aka ak, Zul zu, Sna sn, Afr af, Lat la, Slk sk, Cat ca, Tgl tl, Hye hy"
-)
+LANGUAGE_CODES = {
+    "epo": "eo", "eng": "en", "rus": "ru", "cmn": "zh", "spa": "es", "por": "pt", "ita": "it", "ben": "bn",
+    "fra": "fr", "deu": "de", "ukr": "uk", "kat": "ka", "ara": "ar", "hin": "hi", "jpn": "jp", "heb": "he",
+    "yid": "yi", "pol": "pl", "amh": "am", "jav": "jv", "kor": "ko", "nob": "nb", "dan": "da", "swe": "sv",
+    "fin": "fi", "tur": "tr", "nld": "nl", "hun": "hu", "ces": "cs", "ell": "el", "bul": "bg", "bel": "be",
+    "mar": "mr", "kan": "kn", "ron": "ro", "slv": "sl", "hrv": "hr", "srp": "sr", "mkd": "mk", "lit": "lt",
+    "lav": "lv", "est": "et", "tam": "ta", "vie": "vi", "urd": "ur", "tha": "th", "guj": "gu", "uzb": "uz",
+    "pan": "pa", "aze": "az", "ind": "id", "tel": "te", "pes": "fa", "mal": "ml", "ori": "or", "mya": "my",
+    "nep": "ne", "sin": "si", "khm": "km", "tuk": "tk", "aka": "ak", "zul": "zu", "sna": "sn", "afr": "af",
+    "lat": "la", "slk": "sk", "cat": "ca", "tgl": "tl", "hye": "hy",
+}
 
 
 class NoVoiceForLanguage(Exception):
@@ -25,16 +29,12 @@ class NoVoiceForLanguage(Exception):
 
 def code_table(spark) -> DataFrame:
     """(name, code): the languages and their codes, a fixed 69 rows."""
-    return spark.createDataFrame(list(_codes().items()), "name string, code string")
-
-
-def _codes() -> dict[str, str]:
-    return dict(item.lower().split(" ") for item in LANGUAGE_CODES.split(", "))
+    return spark.createDataFrame(list(LANGUAGE_CODES.items()), "name string, code string")
 
 
 def two_letter_code(name: str) -> str:
     """The code of a language name; a KeyError for an unknown one."""
-    return _codes()[name.lower()]
+    return LANGUAGE_CODES[name.lower()]
 
 
 def voices_by_language(voices: DataFrame) -> DataFrame:

@@ -17,21 +17,23 @@ from pyspark.sql import functions as F
 
 from echolex.functions.text import trim
 
-#: Spelling to sound, in order of application; the rules after those of a language are common to all.
+#: Spelling to sound, in order of application; the rules after those of a language are common to all. No look-around, so
+#: that other engines of regular expressions read them alike; a word ends where neither a letter nor a mark follows.
+END = r"(\z|[^\p{L}\p{M}])"
 RULES: dict[str, list[tuple[str, str]]] = {
     "en": [("tion", "ʃən"), ("ough", "ɔː"), ("igh", "aɪ"), ("ph", "f"), ("kn", "n"), ("wr", "r"), ("th", "θ"), ("sh", "ʃ"),
            ("ch", "tʃ"), ("ck", "k"), ("ng", "ŋ"), ("qu", "kw"), ("ee|ea", "iː"), ("oo", "uː"), ("ai|ay", "eɪ"),
-           ("ou|ow", "aʊ"), ("c(?=[eiy])", "s"), ("x", "ks"), ("y\\b", "i")],
+           ("ou|ow", "aʊ"), ("c([eiy])", "s$1"), ("x", "ks"), ("y" + END, "i$1")],
     "de": [("sch", "ʃ"), ("tsch", "tʃ"), ("ch", "x"), ("ie", "iː"), ("ei|ai", "aɪ"), ("eu|äu", "ɔʏ"), ("au", "aʊ"),
-           ("ä", "ɛ"), ("ö", "ø"), ("ü", "y"), ("ß", "s"), ("\\bs(?=[pt])", "ʃ"), ("s(?=[aeiou])", "z"), ("z", "ts"),
+           ("ä", "ɛ"), ("ö", "ø"), ("ü", "y"), ("ß", "s"), (r"(\A|[^\p{L}\p{M}])s([pt])", "$1ʃ$2"), ("s([aeiou])", "z$1"), ("z", "ts"),
            ("v", "f"), ("w", "v"), ("qu", "kv"), ("ng", "ŋ")],
-    "fr": [("eau|au", "o"), ("oi", "wa"), ("ou", "u"), ("ph", "f"), ("ch", "ʃ"), ("gn", "ɲ"), ("qu", "k"), ("(?:an|en)\\b", "ɑ̃"),
-           ("on\\b", "ɔ̃"), ("in\\b", "ɛ̃"), ("[éè]", "e"), ("ç", "s"), ("c(?=[eiy])", "s"), ("j|g(?=[eiy])", "ʒ"),
-           ("u", "y"), ("[tsdx]\\b", "")],
-    "es": [("ll", "ʎ"), ("ñ", "ɲ"), ("ch", "tʃ"), ("rr", "r"), ("qu(?=[ei])", "k"), ("gu(?=[ei])", "g"), ("c(?=[ei])|z", "θ"),
-           ("j|g(?=[ei])", "x"), ("h", ""), ("v", "b"), ("y", "ʝ")],
+    "fr": [("eau|au", "o"), ("oi", "wa"), ("ou", "u"), ("ph", "f"), ("ch", "ʃ"), ("gn", "ɲ"), ("qu", "k"), ("(?:an|en)" + END, "ɑ̃$1"),
+           ("on" + END, "ɔ̃$1"), ("in" + END, "ɛ̃$1"), ("[éè]", "e"), ("ç", "s"), ("c([eiy])", "s$1"), ("j", "ʒ"), ("g([eiy])", "ʒ$1"),
+           ("u", "y"), ("[tsdx]" + END, "$1")],
+    "es": [("ll", "ʎ"), ("ñ", "ɲ"), ("ch", "tʃ"), ("rr", "r"), ("qu([ei])", "k$1"), ("gu([ei])", "g$1"), ("c([ei])", "θ$1"), ("z", "θ"),
+           ("j", "x"), ("g([ei])", "x$1"), ("h", ""), ("v", "b"), ("y", "ʝ")],
 }
-COMMON = [("c", "k"), ("q", "k"), ("x", "ks"), ("á", "a"), ("é", "e"), ("í", "i"), ("ó", "o"), ("ú", "u"), (r"(?U)[^\p{L}\p{M}\s]", "")]
+COMMON = [("c", "k"), ("q", "k"), ("x", "ks"), ("á", "a"), ("é", "e"), ("í", "i"), ("ó", "o"), ("ú", "u"), (r"[^\p{L}\p{M}\p{Z}\x09-\x0D\x{85}]", "")]
 #: ASCII names of sounds that aren't ASCII.
 ASCII = {"ʃ": "S", "ʒ": "Z", "θ": "T", "ð": "D", "ŋ": "N", "ɲ": "n^", "ʎ": "l^", "ʝ": "j", "ə": "@", "ɪ": "I", "ʊ": "U",
          "ɛ": "E", "ɔ": "O", "ɑ": "A", "ø": "Y", "ʏ": "Y", "ː": ":", "̃": "~"}

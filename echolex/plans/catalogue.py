@@ -12,9 +12,8 @@ from echolex.operators import detect, groups, homophones, languages, malformed,
 from echolex.sources import text as files
 from echolex.sources.tables import table
 
-#: The bounds of the word-length query, and the pronunciation that is looked up.
+#: The bounds of the word-length query.
 SHORTEST, LONGEST = 5, 10
-LOOKED_UP = "ˈʃɛv"
 #: Every row whose `ord` is divisible by this is a query of the search.
 SEARCHED = 50
 
@@ -82,6 +81,10 @@ def homophone_groups(spark: SparkSession, folder: str) -> DataFrame:
     return _as_text(homophones.homophones(table(spark, folder, "dictionary")))
 
 
+def homophone_members(spark: SparkSession, folder: str) -> DataFrame:
+    return homophones.homophone_members(table(spark, folder, "dictionary"))
+
+
 def homophone_groups_normalized(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "dictionary").select("word", phonetics.normalize("phonemes").alias("phonemes"))
     return _as_text(homophones.homophones(rows))
@@ -111,6 +114,21 @@ def words_by_list(spark: SparkSession, folder: str) -> DataFrame:
     return held.select("list_key", F.array_join("values", "|").alias("entries"))
 
 
+def entries_by_list(spark: SparkSession, folder: str) -> DataFrame:
+    return homophones.multimap_rows(table(spark, folder, "word_list").where("entry IS NOT NULL"), "list_key", "entry", "ord")
+
+
+def dictionary_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The first row of each run of one language, with its other columns."""
+    rows = table(spark, folder, "dictionary").select("ord", "lang", "word", "phonemes", "freq", F.lit("all").alias("same"))
+    return homophones.squeeze_rows(rows, "lang", "ord")
+
+
+def constant_runs(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "dictionary").select("ord", "word", "phonemes", F.lit("all").alias("same"))
+    return homophones.squeeze_rows(rows, "same", "ord")
+
+
 def language_runs(spark: SparkSession, folder: str) -> DataFrame:
     return homophones.squeeze_rows(table(spark, folder, "dictionary").select("ord", "lang"), "lang", "ord")
 
@@ -147,7 +165,11 @@ def similar_lists_d1(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lookup_similar(spark: SparkSession, folder: str) -> DataFrame:
-    return similar.lookup(table(spark, folder, "dictionary"), LOOKED_UP, 1).select("ord", "word", "phonemes")
+    """The rows within one edit of the pronunciation that most rows have."""
+    rows = table(spark, folder, "dictionary")
+    counts = rows.where("phonemes <> ''").groupBy("phonemes").agg(F.count(F.lit(1)).alias("n"))
+    usual = counts.orderBy(F.desc("n"), "phonemes").first()["phonemes"]
+    return similar.lookup(rows, usual, 1).select("ord", "word", "phonemes")
 
 
 def search_similar_d1(spark: SparkSession, folder: str) -> DataFrame:
@@ -161,6 +183,10 @@ def cluster_similar(spark: SparkSession, folder: str) -> DataFrame:
     return groups.component_labels(pairs).select(F.col("item").alias("phonemes"), "label")
 
 
+def merged_members(spark: SparkSession, folder: str) -> DataFrame:
+    return groups.merged_members(table(spark, folder, "word_groups"))
+
+
 def merge_groups(spark: SparkSession, folder: str) -> DataFrame:
     return _as_text(groups.merge_groups(table(spark, folder, "word_groups")))
 
@@ -217,7 +243,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         p2_found, p2_rows, normalize_phonemes, squeeze_runs, grapheme_lengths, word_length_filter, trimmed_entries,
         entry_tokens, dictionary_parse, dictionary_lines, document_lines, document_words, homophone_groups,
         homophone_groups_normalized, homophone_groups_bounded, cross_homophones, homophone_count, finished_groups,
-        words_by_list, language_runs, languages_first_seen, similar_pairs_d1, similar_pairs_d2, cross_similar_d1,
+        words_by_list, entries_by_list, homophone_members, dictionary_runs, constant_runs, merged_members, language_runs, languages_first_seen, similar_pairs_d1, similar_pairs_d2, cross_similar_d1,
         similar_lists_d1, lookup_similar, search_similar_d1, cluster_similar, merge_groups, default_voices,
         voices_by_language, catalogue_report, language_codes, dictionary_voices, phonemize_words, phonemize_by_language, language_profiles,
         detect_language,
@@ -275,6 +301,42 @@ def _similar(left: str, right: str) -> str:
         WHERE x.word IS NOT NULL AND y.word IS NOT NULL AND (x.word <> y.word OR x.phonemes <> y.phonemes)"""
 
 
+def _similar_twice() -> str:
+    """Pairs within two edits: candidates share a string left after up to two deletions. The edit distance of bytes is
+    that of code points once the different characters of a pair are mapped to single bytes."""
+    less = "list_distinct(flatten(list_transform({0}, lambda s: list_transform(range(1, length(s) + 1), lambda i: substring(s, 1, i::INT - 1) || substring(s, i::INT + 1)))))"
+    ascii_ = "".join(chr(c) for c in range(48, 127) if chr(c) not in "'\\")
+    return f"""
+        WITH keys AS (SELECT DISTINCT phonemes AS k FROM dictionary WHERE phonemes IS NOT NULL),
+        once AS (SELECT k, {less.format("[k]")} AS one FROM keys),
+        probes AS (SELECT DISTINCT k, unnest(list_concat([k], one, {less.format("one")})) AS probe FROM once),
+        candidates AS (
+          SELECT DISTINCT x.k AS a, y.k AS b FROM probes x JOIN probes y USING (probe) WHERE abs(length(x.k) - length(y.k)) <= 2),
+        mapped AS (SELECT a, b, array_to_string(list_sort(list_distinct(string_split(a || b, ''))), '') AS chars FROM candidates),
+        near AS (
+          SELECT a, b, levenshtein(translate(a, chars, left('{ascii_}', length(chars))), translate(b, chars, left('{ascii_}', length(chars)))) AS distance
+          FROM mapped WHERE CASE WHEN length(chars) > {len(ascii_)} THEN error('too many characters') ELSE true END)
+        SELECT x.ord, y.ord AS match_ord, distance::BIGINT AS distance
+        FROM dictionary x JOIN near ON x.phonemes = a AND distance <= 2 JOIN dictionary y ON y.phonemes = b
+        WHERE x.word IS NOT NULL AND y.word IS NOT NULL AND (x.word <> y.word OR x.phonemes <> y.phonemes)"""
+
+
+def _phonemes_sql(entries: str, keep: str) -> str:
+    """The rules of the phonemiser, applied in order."""
+
+    def said(rules: list[tuple[str, str]]) -> str:
+        out = "lower(word)"
+        for pattern, sound in rules:
+            out = f"regexp_replace({out}, '{pattern}', '{sound.replace('$', chr(92))}', 'g')"
+        return out
+
+    cases = " ".join(f"WHEN lang = '{lang}' THEN {said(rules + phonemise.COMMON)}" for lang, rules in phonemise.RULES.items())
+    return f"""
+        SELECT ord, {keep}word, phonemes FROM (
+          SELECT ord, lang, word, CASE {cases} ELSE {said(phonemise.COMMON)} END AS phonemes
+          FROM (SELECT ord, lang, {_trim("entry")} AS word FROM ({entries})) WHERE word <> '') WHERE phonemes <> ''"""
+
+
 _QUOTED = '"(?:[^"]|"")*"'
 _FIELD = f'(?:{_QUOTED}|[^"\\t][^\\t]*|)'
 
@@ -370,8 +432,7 @@ def _detect_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    """Without SQL: distance 2 (held against brute force in the tests), the phonemiser's rules, which need look-ahead,
-    and language detection (held-out accuracy in the tests)."""
+    """Every query of the core has its SQL."""
     finished = "list_sort(list_distinct(list_filter(words, lambda x: x IS NOT NULL)))"
     merged = """
         WITH RECURSIVE held AS (
@@ -410,6 +471,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^\p{L}]+')) AS word FROM documents)
             WHERE word <> '' GROUP BY word""",
         "homophone_groups": _homophones("FROM dictionary"),
+        "homophone_members": """SELECT DISTINCT phonemes, word FROM dictionary WHERE word IS NOT NULL AND phonemes IN (
+            SELECT phonemes FROM dictionary GROUP BY phonemes HAVING count(DISTINCT word) > 1)""",
         "homophone_groups_normalized": _homophones(f"SELECT word, {_normalize('phonemes')} AS phonemes FROM dictionary"),
         "homophone_groups_bounded": _homophones(
             f"FROM dictionary WHERE length_grapheme(word) BETWEEN {SHORTEST} AND {LONGEST}"
@@ -421,18 +484,25 @@ def oracle_sql() -> dict[str, str]:
             WHERE len({finished}) > 1""",
         "words_by_list": """SELECT list_key, string_agg(entry, '|' ORDER BY ord) AS entries FROM word_list
             WHERE entry IS NOT NULL GROUP BY list_key""",
+        "entries_by_list": """SELECT list_key, entry, row_number() OVER (PARTITION BY list_key ORDER BY ord) - 1 AS nth
+            FROM word_list WHERE entry IS NOT NULL""",
+        "dictionary_runs": """
+            SELECT ord, lang, word, phonemes, freq, 'all' AS same FROM dictionary
+            QUALIFY lang IS DISTINCT FROM lag(lang) OVER (ORDER BY ord) OR row_number() OVER (ORDER BY ord) = 1""",
+        "constant_runs": "SELECT ord, word, phonemes, 'all' AS same FROM dictionary ORDER BY ord LIMIT 1",
         "language_runs": """
             SELECT ord, lang FROM (SELECT ord, lang, lag(lang) OVER (ORDER BY ord) AS prev,
               row_number() OVER (ORDER BY ord) AS nth FROM dictionary) WHERE nth = 1 OR lang IS DISTINCT FROM prev""",
         "languages_first_seen": "SELECT lang, min(ord) AS ord FROM dictionary WHERE lang IS NOT NULL GROUP BY lang",
         "similar_pairs_d1": _similar("dictionary", "dictionary"),
+        "similar_pairs_d2": _similar_twice(),
         "cross_similar_d1": _similar("(SELECT * FROM dictionary WHERE src = 0)", "(SELECT * FROM dictionary WHERE src = 1)"),
         "similar_lists_d1": f"""
             SELECT p.ord, x.word, string_agg(y.word, '|' ORDER BY p.match_ord) AS matches
             FROM ({_similar("dictionary", "dictionary")}) p JOIN dictionary x ON x.ord = p.ord
             JOIN dictionary y ON y.ord = p.match_ord GROUP BY p.ord, x.word""",
         "lookup_similar": f"""
-            WITH {_near(f"(SELECT '{LOOKED_UP}' AS phonemes)", "dictionary")}
+            WITH {_near("(SELECT phonemes FROM dictionary WHERE phonemes <> '' GROUP BY phonemes ORDER BY count(*) DESC, phonemes LIMIT 1)", "dictionary")}
             SELECT ord, word, phonemes FROM dictionary WHERE phonemes IN (SELECT b FROM near)""",
         "search_similar_d1": f"""
             WITH {_near(f"(SELECT * FROM dictionary WHERE ord % {SEARCHED} = 0)", "dictionary")}
@@ -446,6 +516,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT phonemes, min(other) AS label FROM reached GROUP BY phonemes""",
         "merge_groups": f"""{merged}
             SELECT string_agg(item, '|' ORDER BY item) AS words FROM labels GROUP BY label HAVING count(*) > 1""",
+        "merged_members": f"{merged} SELECT item, label FROM labels",
         "default_voices": """SELECT lang, filename, priority FROM voices WHERE lang IS NOT NULL
             QUALIFY row_number() OVER (PARTITION BY lang ORDER BY priority DESC, filename) = 1""",
         "voices_by_language": """SELECT lang, string_agg(filename, '|' ORDER BY priority DESC, filename) AS filenames
@@ -456,12 +527,14 @@ def oracle_sql() -> dict[str, str]:
             FROM voices, (SELECT greatest(8, max(strlen(filename))) AS w FROM voices) WHERE lang IS NOT NULL""",
         "language_codes": f"""
             SELECT code, count(lang) AS n
-            FROM (SELECT unnest({[item.split(" ")[1] for item in languages.LANGUAGE_CODES.split(", ")]}) AS code)
+            FROM (SELECT unnest({list(languages.LANGUAGE_CODES.values())}) AS code)
             LEFT JOIN dictionary ON lang = code GROUP BY code""",
         "dictionary_voices": """
             SELECT ord, filename FROM dictionary LEFT JOIN (
               SELECT lang, filename FROM voices QUALIFY row_number() OVER (PARTITION BY lang ORDER BY priority DESC, filename) = 1)
             USING (lang)""",
+        "phonemize_words": _phonemes_sql("SELECT ord, 'de' AS lang, entry FROM word_list", ""),
+        "phonemize_by_language": _phonemes_sql("SELECT ord, lang, word AS entry FROM dictionary", "lang, "),
         "detect_language": _detect_sql(),
         "language_profiles": rf"""
             WITH words AS (
