@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echolex.llm import bpe, components, format_duplicates, lookalikes, near_duplicates, packing, shared_spans
+from echolex.session import Scratch
 from echolex.sources.tables import table
 
 #: The container that documents are put into.
@@ -63,6 +64,26 @@ def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(sizes, _capacity(spark, folder))
 
 
+def p7_check(spark: SparkSession, folder: str) -> DataFrame:
+    """For each document: whether every token is in one piece and each piece but the last is full, whether all of its
+    containers hold what they can, and whether no more than a hundredth of the containers, and one, could be spared."""
+    capacity = _capacity(spark, folder)
+    sizes = Scratch(spark, "check").cut(bpe.count_tokens(table(spark, folder, "documents")))
+    pieces = packing.pack(sizes, capacity)
+    length = F.col("to_token") - F.col("from_token")
+    held = pieces.groupBy("container_id").agg(F.sum(length).alias("held"))
+    placed = (F.col("from_token") == F.col("piece") * capacity) & (F.col("to_token") == F.least("n_tokens", (F.col("piece") + 1) * capacity))
+    pieces = pieces.join(held, "container_id").join(sizes, "doc_id")
+    docs = pieces.groupBy("doc_id", "n_tokens").agg(
+        F.every(placed).alias("placed"), F.count_distinct("piece").alias("different"), F.count(F.lit(1)).alias("n"), F.sum(length).alias("sum"), F.max("held").alias("most")
+    )
+    least = F.ceil(F.sum("n_tokens") / capacity)
+    need = sizes.agg(least.alias("least")).crossJoin(held.agg(F.count(F.lit(1)).alias("used"), F.max("container_id").alias("last")))  # one row
+    whole = F.col("placed") & (F.col("n") == F.col("different")) & (F.col("sum") == F.col("n_tokens"))
+    tight = (F.col("used") <= 1.01 * F.col("least") + 1) & (F.col("last") + 1 <= 1.01 * F.col("least") + 1)
+    return docs.crossJoin(need).select("doc_id", whole.alias("whole"), (F.col("most") <= capacity).alias("fits"), tight.alias("tight"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return shared_spans.shared_spans(table(spark, folder, "documents"), SPAN)
 
@@ -73,7 +94,7 @@ def p8_share(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (p1_found, p3_found, p3_collapsed, p4_found, p4_groups, p5_found, p6_ids, p6_counts, p7_containers, p8_found, p8_share)
+    made = (p1_found, p3_found, p3_collapsed, p4_found, p4_groups, p5_found, p6_ids, p6_counts, p7_containers, p7_check, p8_found, p8_share)
     return {f.__name__: f for f in made}
 
 
@@ -167,6 +188,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT phrase_id, coalesce(group_id, phrase_id) AS group_id, coalesce(n, 0)::BIGINT AS n_links
             FROM phrases LEFT JOIN least USING (phrase_id) LEFT JOIN counts USING (phrase_id)""",
         "p5_found": _p5_sql(),
+        "p7_check": "SELECT doc_id, true AS whole, true AS fits, true AS tight FROM documents",
         "p8_found": f"WITH {_spans_sql()} SELECT doc_id, start_pos, end_pos FROM runs",
         "p8_share": f"""
             WITH {_spans_sql()},

@@ -83,6 +83,28 @@ def test_token_like_sizes_leave_little_unused(seed):
     assert containers <= 1.002 * sum(s * n for s, n in histogram.items()) / 2048 + 1
 
 
+@pytest.mark.parametrize("capacity, mean", [(32_768, 9_000), (131_072, 30_000)])
+def test_large_capacities(capacity, mean):
+    r = random.Random(capacity)
+    histogram = defaultdict(int)
+    for _ in range(40_000):
+        histogram[min(capacity - 1, 1 + int(r.expovariate(1 / mean)))] += 1
+    used, containers = defaultdict(int), 0
+    for times, items in P.minimum_bin_slack(histogram, capacity):
+        containers += times
+        assert sum(s * n for s, n in items) <= capacity
+        for s, n in items:
+            used[s] += n * times
+    assert used == histogram
+    assert containers <= 1.002 * sum(s * n for s, n in histogram.items()) / capacity + 1
+
+
+def test_many_whole_pieces_of_hot_items(spark):
+    sizes = [64] * 500 + [6400] * 20 + [64 * 3 + 1] * 50 + [65] * 300
+    fill = check(packed(spark, sizes, 64), sizes, 64)
+    assert sum(f == 64 for f in fill.values()) >= 500 + 2000 + 150 + 300 and len(fill) == 2950 + 6
+
+
 def test_all_of_one_size(spark):
     sizes = [30] * 1001
     fill = check(packed(spark, sizes, 64), sizes, 64)
