@@ -14,8 +14,12 @@ lies in both in a chunk with the same cut. Chunks are deduplicated by digest:
    the single windows decide.
 
 Each step groups by digest with partial aggregates (the smallest and the largest document of a digest differ), so a
-passage that a third of all documents hold is never gathered, and no pairs are formed. Digests are compared within
-their cut or class, that is 128 bits in all.
+passage that a third of all documents hold is never gathered, and no pairs are formed. Chunks, classes and windows are
+compared by two digests of their whole text, polynomials of different bases modulo 2**64; the cut only limits what is
+compared. Texts aren't compared character by character after that.
+
+The chunks with all their digests come from one map over the texts. The texts are joined once more, to cut out the chunks
+that are refined; the steps that follow read these pieces only.
 """
 
 from __future__ import annotations
@@ -34,12 +38,12 @@ from echolex.session import Scratch
 GEAR = 32
 #: Windows of a class in the refinement of a chunk.
 CLASS = 16
-#: Odd multiplier of the polynomial digests, modulo 2**64.
-BASE = 0x9E3779B97F4A7C15 | 1
+#: Odd multipliers of the two polynomial digests, modulo 2**64.
+BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 #: Characters hashed at once; a longer single text is hashed whole.
 CHARS_AT_ONCE = 2_000_000
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_powers: list[list[tuple[np.ndarray, np.ndarray]]] = []
 
 
 def _mixed(points: np.ndarray) -> np.ndarray:
@@ -63,33 +67,39 @@ def gear(mixed: np.ndarray) -> np.ndarray:
     return h
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**k and its inverse for k <= n."""
-    held = _powers.get(0)
-    if held is None or len(held[0]) <= n:
+def _power(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each base its powers and their inverses up to n."""
+    if not _powers or len(_powers[0][0][0]) <= n:
         size = max(n + 1, CHARS_AT_ONCE + 2)
-        inverse = pow(BASE, -1, 1 << 64)
-        both = []
-        for base in (BASE, inverse):
-            p = np.ones(size, np.uint64)
-            p[1:] = np.uint64(base)
-            both.append(np.multiply.accumulate(p))
-        held = _powers[0] = (both[0], both[1])
-    return held
+        made = []
+        for base in BASES:
+            both = []
+            for factor in (base, pow(base, -1, 1 << 64)):
+                p = np.ones(size, np.uint64)
+                p[1:] = np.uint64(factor)
+                both.append(np.multiply.accumulate(p))
+            made.append((both[0], both[1]))
+        _powers[:] = [made]
+    return _powers[0]
+
+
+def _finished(d: np.ndarray) -> np.ndarray:
+    d = d ^ (d >> np.uint64(29))
+    return (d * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
 
 
 class Digests:
-    """Digests of any stretch of a text, from prefix sums."""
+    """The two digests of any stretch of a text, from prefix sums."""
 
     def __init__(self, mixed: np.ndarray) -> None:
-        up, self.down = _power(len(mixed))
-        self.sums = np.zeros(len(mixed) + 1, np.uint64)
-        np.cumsum(mixed * up[: len(mixed)], out=self.sums[1:])
+        self.parts = []
+        for up, down in _power(len(mixed)):
+            sums = np.zeros(len(mixed) + 1, np.uint64)
+            np.cumsum(mixed * up[: len(mixed)], out=sums[1:])
+            self.parts.append((sums, down))
 
-    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        d = (self.sums[end] - self.sums[start]) * self.down[start]
-        d ^= d >> np.uint64(29)
-        return (d * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+        return [_finished((sums[end] - sums[start]) * down[start]) for sums, down in self.parts]
 
 
 def _texts(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,12 +122,12 @@ def _last_least(key: np.ndarray, width: int) -> np.ndarray:
 
 
 def chunks_of(points: np.ndarray, starts: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
-    """(text, first window, last window, place of the cut, digest of the cut) of every chunk; places count from 0 in
-    their text."""
+    """(text, first window, last window, place of the cut, digest of the cut, the chunk's two digests) of every chunk;
+    places count from 0 in their text."""
     n = len(points)
     if n < span:
         none = np.zeros(0, np.int64)
-        return none, none, none, none, none
+        return (none,) * 7
     mixed = _mixed(points)
     hashes = gear(mixed)
     # 32 bits of the hash, then the place from the right: the last of equal ones is the least. Keys are unique.
@@ -130,13 +140,14 @@ def chunks_of(points: np.ndarray, starts: np.ndarray, span: int) -> tuple[np.nda
     place = np.flatnonzero(whole)
     if not len(place):
         none = np.zeros(0, np.int64)
-        return none, none, none, none, none
+        return (none,) * 7
     fresh = np.ones(len(place), bool)
     fresh[1:] = (cut[place[1:]] != cut[place[:-1]]) | (text[place[1:]] != text[place[:-1]])
     first = place[fresh]
     last = np.append(place[np.flatnonzero(fresh)[1:] - 1], place[-1])
     at, start = cut[first], starts[text[first]]
-    return text[first], first - start, last - start, at - start, Digests(mixed)(at - GEAR + 1, at + 1)
+    digests = Digests(mixed)
+    return text[first], first - start, last - start, at - start, digests(at - GEAR + 1, at + 1)[0], *digests(first, last + span)
 
 
 def _held(column: pa.ListArray, fields: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -174,122 +185,109 @@ def shared_spans(documents: DataFrame, span: int = 200, id_col: str = "doc_id",
         F.col("doc").isNotNull() & (F.length("body") >= span)
     )
     kind = texts.schema["doc"].dataType.simpleString()
+    places = "first int, last int, at int"
+
+    def batch_of(docs: pa.Array, names: str, small: tuple, large: tuple) -> pa.RecordBatch:
+        columns = [*(pa.array(x, pa.int32()) for x in small), *(pa.array(x) for x in large)]
+        return pa.RecordBatch.from_arrays([docs, *columns], ["doc", *names.split()])
 
     def cut_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _cut_batches(batches):
-            text, first, last, at, cut = chunks_of(*_texts(batch, 1), span)
-            docs = batch.column(0).take(pa.array(text))
-            places = (pa.array(x, pa.int32()) for x in (first, last, at))
-            yield pa.RecordBatch.from_arrays([docs, *places, pa.array(cut, pa.int64())], ["doc", "first", "last", "at", "cut"])
+            text, first, last, at, *digests = chunks_of(*_texts(batch, 1), span)
+            yield batch_of(batch.column(0).take(pa.array(text)), "first last at cut d1 d2", (first, last, at), tuple(digests))
 
-    def digest_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The text of each chunk that is refined."""
         for batch in _cut_batches(batches):
-            points, starts = _texts(batch, 1)
             row, (first, last, at, cut) = _held(batch.column(2), 4)
-            start, digest = starts[row], Digests(_mixed(points))
+            bodies = batch.column(1).to_pylist()
+            pieces = [bodies[r][x : y + span] for r, x, y in zip(row.tolist(), first.tolist(), last.tolist())]
+            made = batch_of(batch.column(0).take(pa.array(row)), "first last at cut", (first, last, at), (cut,))
+            whole = pa.array([len(p) == n for p, n in zip(pieces, (last - first + span).tolist())], pa.bool_())
+            yield made.append_column("piece", pa.array(pieces, pa.string())).filter(whole)  # not so if ids are repeated
+
+    def digest_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _cut_batches(batches):
+            points, starts = _texts(batch, 5)
+            first, last, at, cut = (batch.column(i).to_numpy().astype(np.int64) for i in range(1, 5))
+            start, digest = starts[:-1] - first, Digests(_mixed(points))
             low, high = (at - last) // CLASS, (at - first) // CLASS
             number = high - low + 1
             owner = np.repeat(np.arange(len(first)), number)
             nth = np.arange(len(owner)) - np.repeat(np.cumsum(number) - number, number) + low[owner]
-            middle = start[owner] + at[owner] - nth * CLASS
-            begin = np.maximum(start[owner] + first[owner], middle - CLASS + 1)
-            end = np.minimum(start[owner] + last[owner], middle)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(number)]), pa.int32())
-            cores = pa.array(digest(middle, middle - CLASS + 1 + span))
-            fulls = pa.array(digest(begin, end + span) ^ (end - begin))
-            classes = pa.StructArray.from_arrays([cores, fulls], ["core", "full"])
-            places = (pa.array(x, pa.int32()) for x in (first, last, at))
-            whole = pa.array(digest(start + first, start + last + span))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row)), *places, pa.array(cut), whole, pa.ListArray.from_arrays(offsets, classes)],
-                ["doc", "first", "last", "at", "cut", "digest", "classes"],
-            )
+            middle = at[owner] - nth * CLASS
+            begin = np.maximum(first[owner], middle - CLASS + 1)
+            end = np.minimum(last[owner], middle)
+            core = (middle, middle - CLASS + 1 + span)  # what the windows of a whole class have in common
+            place = _mixed(cut[owner].view(np.uint64) + _mixed(nth.view(np.uint64)))
+            u = [_finished(d.view(np.uint64) ^ place) for d in digest(start[owner] + core[0], start[owner] + core[1])]
+            f = [d ^ (end - begin) for d in digest(start[owner] + begin, start[owner] + end + span)]
+            docs = batch.column(0).take(pa.array(owner))
+            yield batch_of(docs, "first last at u1 u2 f1 f2", (begin, end, at[owner]), (*u, *f))
 
     def digest_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _cut_batches(batches):
-            points, starts = _texts(batch, 1)
-            row, (first, last, unit) = _held(batch.column(2), 3)
+            points, starts = _texts(batch, 2)
+            row, (first, last, u1, u2) = _held(batch.column(3), 4)
+            begin, size = batch.column(1).to_numpy(), np.diff(starts)
+            inside = (first >= begin[row]) & (last + span <= begin[row] + size[row])  # not so if ids are repeated
+            row, first, last, u1, u2 = (x[inside] for x in (row, first, last, u1, u2))
+            start = starts[:-1] - begin
             number = last - first + 1
             owner = np.repeat(np.arange(len(first)), number)
             window = np.arange(len(owner)) - np.repeat(np.cumsum(number) - number, number) + first[owner]
-            begin = starts[row[owner]] + window
-            digest = Digests(_mixed(points))(begin, begin + span)
+            begin = start[row[owner]] + window
             docs = batch.column(0).take(pa.array(row[owner]))
-            yield pa.RecordBatch.from_arrays(
-                [docs, pa.array(window, pa.int32()), pa.array(unit[owner]), pa.array(digest)], ["doc", "window", "unit", "digest"]
-            )
+            yield batch_of(docs, "window u1 u2 d1 d2", (window,), (u1[owner], u2[owner], *Digests(_mixed(points))(begin, begin + span)))
 
-    def with_text(rows: DataFrame, *columns: str) -> DataFrame:
-        """Each document that has rows, with the list of them (bounded by its own length)."""
-        held = rows.groupBy("doc").agg(F.collect_list(F.struct(*columns)).alias("held"))
-        return texts.join(held, "doc").select("doc", "body", "held")
+    def spans(rows: DataFrame) -> DataFrame:
+        return rows.where("whole").select("doc", F.col("first").alias("start_pos"), (F.col("last") + span).alias("end_pos"))
 
-    chunk = f"doc {kind}, first int, last int, at int, cut bigint"
-    chunks_at = scratch.write(texts.mapInArrow(cut_chunks, chunk))
+    chunks_at = scratch.write(texts.mapInArrow(cut_chunks, f"doc {kind}, {places}, cut bigint, d1 bigint, d2 bigint"))
     chunks = scratch.read(chunks_at)
     near_at = scratch.write(chunks.join(_several(chunks, "cut"), "cut", "left_semi"))
     scratch.drop(chunks_at)
     scratch.release()
-    near = with_text(scratch.read(near_at), "first", "last", "at", "cut")
-    classed = f"{chunk}, digest bigint, classes array<struct<core: bigint, full: bigint>>"
-    digests_at = scratch.write(near.mapInArrow(digest_chunks, classed))
+    marked = scratch.cut(_marked(scratch.read(near_at), ["cut"], ["d1", "d2"]))
+    rest = scratch.cut(_rest(marked, ["cut"], ["d1", "d2"], ["doc", "first", "last", "at"]))
     scratch.drop(near_at)
     scratch.release()
-    marked_at = scratch.write(_marked(scratch.read(digests_at), "cut", "digest"))
-    scratch.drop(digests_at)
+    held = rest.groupBy("doc").agg(F.collect_list(F.struct("first", "last", "at", "cut")).alias("held"))  # bounded by its own length
+    pieces = texts.join(held, "doc").select("doc", "body", "held").mapInArrow(cut_pieces, f"doc {kind}, {places}, cut bigint, piece string")
+    pieces = scratch.cut(pieces)
     scratch.release()
-    marked = scratch.read(marked_at)
-
-    def spans(rows: DataFrame) -> DataFrame:
-        return rows.where("whole").select("doc", F.col("first").alias("start_pos"), (F.col("last") + span).alias("end_pos"))
-
-    rest = _rest(marked, "cut", "digest", ["doc", "first", "last", "at", "classes"])
-    low = F.floor((F.col("at") - F.col("last")) / CLASS).cast("int")
-    rest = rest.select("cut", "doc", "first", "last", "at", low.alias("low"), F.posexplode("classes").alias("place", "class"))
-    nth = F.col("low") + F.col("place")
-    nearest = F.col("at") - nth * CLASS
-    rest = rest.select(
-        F.xxhash64("cut", nth, "class.core").alias("unit"),
-        "class.full",
-        "doc",
-        F.greatest("first", nearest - (CLASS - 1)).alias("first"),
-        F.least("last", nearest).alias("last"),
-    )
-    rest_at = scratch.write(rest)
-    scratch.release()
-    rest = scratch.read(rest_at)
-    kept_at = scratch.write(rest.join(_several(rest, "unit"), "unit", "left_semi"))
-    scratch.drop(rest_at)
+    units = "u1 bigint, u2 bigint, f1 bigint, f2 bigint"
+    refined = scratch.cut(pieces.mapInArrow(digest_classes, f"doc {kind}, {places}, {units}"))
+    kept = scratch.cut(refined.join(_several(refined, "u1", "u2"), ["u1", "u2"], "left_semi"))
     scratch.release()
-    classes_at = scratch.write(_marked(scratch.read(kept_at), "unit", "full"))
-    scratch.drop(kept_at)
+    classes = scratch.cut(_marked(kept, ["u1", "u2"], ["f1", "f2"]))
     scratch.release()
-    classes = scratch.read(classes_at)
-    kept = _rest(classes, "unit", "full", ["doc", "first", "last"])
-    windows_at = scratch.write(
-        with_text(kept, "first", "last", "unit").mapInArrow(digest_windows, f"doc {kind}, window int, unit bigint, digest bigint")
-    )
+    left = _rest(classes, ["u1", "u2"], ["f1", "f2"], ["doc", "first", "last", "at"])
+    held = left.groupBy("doc", "at").agg(F.collect_list(F.struct("first", "last", "u1", "u2")).alias("held"))  # the classes of a chunk
+    # a chunk is a document's only one at its cut
+    source = pieces.select("doc", F.col("first").alias("begin"), "piece", "at").join(held, ["doc", "at"]).select("doc", "begin", "piece", "held")
+    windows = scratch.cut(source.mapInArrow(digest_windows, f"doc {kind}, window int, u1 bigint, u2 bigint, d1 bigint, d2 bigint"))
     scratch.release()
-    windows = scratch.read(windows_at)
-    single = windows.join(_several(windows, "unit", "digest"), ["unit", "digest"], "left_semi").select(
+    keys = ["u1", "u2", "d1", "d2"]
+    single = windows.join(_several(windows, *keys), keys, "left_semi").select(
         "doc", F.col("window").alias("start_pos"), (F.col("window") + span).alias("end_pos")
     )
     return merge_runs(spans(marked).unionByName(spans(classes)).unionByName(single)).withColumnRenamed("doc", id_col)
 
 
-def _marked(units: DataFrame, group: str, key: str) -> DataFrame:
+def _marked(units: DataFrame, group: list[str], key: list[str]) -> DataFrame:
     """The units (with `doc`) with `whole`: whether their key occurs in several documents, within the group."""
-    keys = units.groupBy(group, key).agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
-    return units.join(keys.select(group, key, (F.col("low") != F.col("high")).alias("whole")), [group, key])
+    keys = units.groupBy(*group, *key).agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
+    return units.join(keys.select(*group, *key, (F.col("low") != F.col("high")).alias("whole")), [*group, *key])
 
 
-def _rest(marked: DataFrame, group: str, key: str, row: list[str]) -> DataFrame:
+def _rest(marked: DataFrame, group: list[str], key: list[str], row: list[str]) -> DataFrame:
     """The units that aren't shared as a whole, and those they may share a part with: of each key that is shared as a
     whole in their group, the units of two documents, which stand for all."""
-    single = marked.where("NOT whole").select(group, *row)
-    alike = marked.where("whole").join(single.select(group).distinct(), group, "left_semi").groupBy(group, key)
+    single = marked.where("NOT whole").select(*group, *row)
+    alike = marked.where("whole").join(single.select(*group).distinct(), group, "left_semi").groupBy(*group, *key)
     alike = alike.agg(F.min(F.struct(*row)).alias("one"), F.max(F.struct(*row)).alias("two"))
-    return single.unionByName(alike.select(group, F.explode(F.array("one", "two")).alias("it")).select(group, "it.*"))
+    return single.unionByName(alike.select(*group, F.explode(F.array("one", "two")).alias("it")).select(*group, "it.*"))
 
 
 def merge_runs(spans: DataFrame) -> DataFrame:

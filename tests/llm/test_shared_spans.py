@@ -57,6 +57,19 @@ def test_within_one_document_nothing_is_shared(spark):
         S.shared_spans(df, 10)
 
 
+def test_repeated_ids(spark):
+    df = spark.createDataFrame(list(enumerate(texts(9, "abcd "))), "doc_id long, text string")
+    again = df.selectExpr("doc_id DIV 2 AS doc_id", "text")
+    found = S.shared_spans(again.unionByName(again), 100).collect()
+    assert all(0 <= r["start_pos"] <= r["end_pos"] - 100 for r in found)
+
+
+def test_two_digests():
+    points = np.frombuffer(("ab" * 300).encode("utf-32-le"), np.uint32)
+    one, two = S.Digests(S._mixed(points))(np.array([0, 2, 1]), np.array([100, 102, 101]))
+    assert one[0] == one[1] != one[2] and two[0] == two[1] != two[2] and one[0] != two[0]
+
+
 def test_share(spark):
     rows = [(1, "x" * 10 + "".join(map(str, range(60)))), (2, "".join(map(str, range(60)))), (3, None), (4, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
