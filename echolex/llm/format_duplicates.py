@@ -19,7 +19,8 @@ BETWEEN_PARTS = r"[^\p{L}\p{N}]+"
 
 
 def parts(word: Column) -> Column:
-    """The longest runs of letters and digits, each in lower case, sorted."""
+    """The longest runs of letters and digits, each in lower case, sorted. Lower case is that of the Unicode default
+    algorithm: a capital sigma at the end of a part becomes the final small sigma, a dotted capital I an i and a dot."""
     return F.array_sort(F.transform(F.filter(F.split(word, BETWEEN_PARTS), lambda x: x != F.lit("")), F.lower))
 
 
