@@ -37,6 +37,15 @@ def two_letter_code(name: str) -> str:
     return LANGUAGE_CODES[name.lower()]
 
 
+def catalogue(voices: DataFrame) -> DataFrame:
+    """(lang, filename, priority) of a synthesiser's voices, each with an array `languages` of (name, priority): one row
+    for each voice and language. A voice without a filename or without languages speaks none. A flat table stays as it is."""
+    if "languages" not in voices.columns:
+        return voices.select("lang", "filename", "priority")
+    spoken = voices.where("filename IS NOT NULL").select("filename", F.explode("languages").alias("spoken"))
+    return spoken.select(F.col("spoken.name").alias("lang"), "filename", F.col("spoken.priority").alias("priority")).dropna(subset=["lang"])
+
+
 def voices_by_language(voices: DataFrame) -> DataFrame:
     """(lang, voices array<struct<filename, priority>>): larger priorities first, equal ones by filename."""
     ranked = F.array_sort(F.collect_list(F.struct((-F.col("priority").cast("int")).alias("rank"), "filename", "priority")))

@@ -58,21 +58,27 @@ class Rules:
 
 
 class Native:
-    """`make()` returns a function from one text to its pronunciation; it is called once in each Python worker."""
+    """`make()` returns a function from one text to its pronunciation; it is called once in each Python worker. What it
+    returns may be bytes, as a library in C gives them; bytes that aren't UTF-8 become U+FFFD."""
 
-    def __init__(self, make: Callable[[], Callable[[str], str]]) -> None:
+    def __init__(self, make: Callable[[], Callable[[str], str | bytes]]) -> None:
         self.make = make
 
     def __call__(self, text: Column) -> Column:
         make = self.make
 
-        @F.pandas_udf("string")
+        @F.pandas_udf("binary")
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             speak = make()
+
+            def spoken(text: str) -> bytes | None:
+                said = speak(text)
+                return said.encode() if isinstance(said, str) else said
+
             for texts in batches:
-                yield texts.map(speak, na_action="ignore")
+                yield texts.map(spoken, na_action="ignore")
 
-        return F.make_valid_utf8(run(text))
+        return F.make_valid_utf8(run(text).cast("string"))
 
 
 def phonemise(entries: DataFrame, phonemizer: Phonemizer, entry_col: str = "entry", keep: tuple[str, ...] = ("ord",)) -> DataFrame:
@@ -81,6 +87,12 @@ def phonemise(entries: DataFrame, phonemizer: Phonemizer, entry_col: str = "entr
     return words.withColumn("phonemes", phonemizer(F.col("word"))).where(F.length("phonemes") > 0)
 
 
+def unspoken(entries: DataFrame, phonemizer: Phonemizer, entry_col: str = "entry", keep: tuple[str, ...] = ("ord",)) -> DataFrame:
+    """(*keep, word): the entries that `phonemise` leaves out because they have no pronunciation."""
+    words = entries.select(*keep, trim(entry_col).alias("word")).where(F.length("word") > 0)
+    return words.where(F.coalesce(F.length(phonemizer(F.col("word"))), F.lit(0)) == 0)
+
+
 def phonemise_by_language(entries: DataFrame, entry_col: str, lang_col: str, keep: tuple[str, ...] = ("ord",)) -> DataFrame:
     """`phonemise` with the rules of each row's language; rows of a language without rules, and those of none, get the
     common ones. One branch of the union for each set of rules keeps each expression small enough for code generation."""

@@ -45,8 +45,10 @@ def _deletions(key: Column, distance: int) -> Column:
 
 
 def _by_deletions(left: DataFrame, right: DataFrame, distance: int) -> DataFrame:
-    a = left.select(F.col("key").alias("a"), F.explode(_deletions(F.col("key"), distance)).alias("probe"))
-    b = right.select(F.col("key").alias("b"), F.explode(_deletions(F.col("key"), distance)).alias("probe"))
+    # probes travel as 64-bit hashes: a collision is one more candidate, which the verification drops
+    probes = F.explode(F.array_distinct(F.transform(_deletions(F.col("key"), distance), lambda s: F.xxhash64(s))))
+    a = left.select(F.col("key").alias("a"), probes.alias("probe"))
+    b = right.select(F.col("key").alias("b"), probes.alias("probe"))
     close = F.abs(F.length("a") - F.length("b")) <= distance
     return a.join(b, "probe").where(close & similar("a", "b", distance)).select("a", "b").distinct()
 

@@ -11,7 +11,7 @@ import tempfile
 
 from echolex.operators import detect, languages, phonemise
 from echolex.plans import programs
-from echolex.session import local_session
+from echolex.session import local_session, scratch_tables
 from echolex.sources import text
 
 
@@ -58,8 +58,21 @@ def _spooled(paths: list[str], folder: str) -> list[str]:
     return [path]
 
 
+def _warn(number: int, what: str) -> None:
+    if number:
+        print(f"Warning: {number} {what}", file=sys.stderr)
+
+
+def _warn_of_lines(spark, paths: list[str]) -> None:
+    _warn(text.rejected(spark, paths).first()["n"], "lines that aren't valid UTF-8 were left out")
+
+
 def _create(spark, args, folder: str) -> None:
-    voices = spark.read.parquet(args.voices) if args.voices else text.empty(spark, "lang string, filename string, priority tinyint")
+    voices = text.empty(spark, "lang string, filename string, priority tinyint")
+    if args.voices:
+        voices = languages.catalogue(spark.read.parquet(args.voices))
+    if voices.isEmpty():
+        print("Warning: no voices found", file=sys.stderr)
     if args.list_languages:
         print("Languages:")
         width = languages.catalogue_width(voices).first()["width"]
@@ -70,7 +83,9 @@ def _create(spark, args, folder: str) -> None:
                 print(f"\nName:   {last}\nVoices:\n{'Filename':>{width}} {'Priority':>{width}}")
             print(row["line"])
         return
-    rows = text.ordered_lines(spark, _spooled([args.input] if args.input else [], folder))
+    paths = _spooled([args.input] if args.input else [], folder)
+    _warn_of_lines(spark, paths)
+    rows = text.ordered_lines(spark, paths)
 
     def guess() -> str:
         known = detect.profiles(spark.read.parquet(args.samples)) if args.samples else None
@@ -81,8 +96,10 @@ def _create(spark, args, folder: str) -> None:
         language = language or guess()
         languages.choose_voice(voices, None, language)  # fails before any output is made
     language = language or os.path.basename(os.path.dirname(args.voice)) or args.voice
-    made = programs.create(rows, phonemise.Rules(language, args.ascii)).orderBy("ord")
+    speak = phonemise.Rules(language, args.ascii)
+    made = programs.create(rows, speak).orderBy("ord")
     text.print_lines(text.dictionary_lines(made), args.output)
+    _warn(phonemise.unspoken(rows, speak, "line").count(), "entries without a pronunciation were left out")
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -91,22 +108,33 @@ def main(argv: list[str] | None = None) -> int:
     if args.program == "find" and len(args.files) > 2:
         top.error("too many file arguments")
     spark = local_session(os.cpu_count() or 1)
-    folder = tempfile.mkdtemp(prefix="echolex-cli-")
+    folder = tempfile.mkdtemp(prefix="echolex-cli-")  # standard input is spooled to it; the session is a local one
     try:
-        if args.program == "create":
-            _create(spark, args, folder)
-        elif args.program == "find":
-            options = programs.FindOptions(args.normalize, args.min_length, args.max_length, args.max_distance)
-            loaded = [programs.load(text.ordered_lines(spark, [p]), options) for p in _spooled(args.files, folder)]
-            found = programs.find_lines(programs.find(loaded[0], loaded[1] if len(loaded) > 1 else None, options))
-            print(f"{text.print_lines(found)} results", file=sys.stderr)
-        else:
-            text.print_lines(text.group_lines(programs.merge(text.lines(spark, _spooled(args.files, folder)))))
+        with scratch_tables(spark):
+            return _run(spark, args, folder)
     except (EOFError, FileNotFoundError, languages.NoVoiceForLanguage) as error:
         print(f"Error: {error}", file=sys.stderr)
         return 1
     finally:
         shutil.rmtree(folder, ignore_errors=True)
+
+
+def _run(spark, args, folder: str) -> int:
+    if args.program == "create":
+        _create(spark, args, folder)
+    elif args.program == "find":
+        options = programs.FindOptions(args.normalize, args.min_length, args.max_length, args.max_distance)
+        paths = _spooled(args.files, folder)
+        _warn_of_lines(spark, paths)
+        rows = [text.ordered_lines(spark, [p]) for p in paths]
+        _warn(sum(text.unparsed(r).count() for r in rows), "lines without a tab were left out")
+        loaded = [programs.load(r, options) for r in rows]
+        found = programs.find_lines(programs.find(loaded[0], loaded[1] if len(loaded) > 1 else None, options))
+        print(f"{text.print_lines(found)} results", file=sys.stderr)
+    else:
+        paths = _spooled(args.files, folder)
+        _warn_of_lines(spark, paths)
+        text.print_lines(text.group_lines(programs.merge(text.lines(spark, paths))))
     return 0
 
 

@@ -11,9 +11,11 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from echolex.functions import text as T
 from echolex.functions.phonetics import normalize
+from echolex.session import small_table
 
 DICTIONARY = "ord bigint, word string, phonemes string"
 GROUPS = "words array<string>"
@@ -36,12 +38,9 @@ def ordered_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     counts = split.groupBy("file", "part").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("low")).toPandas()
     counts = counts.sort_values(["file", "part"])
     counts["offset"] = counts["n"].cumsum() - counts["n"]
-    rows = [tuple(map(int, r)) for r in counts[["file", "part", "offset"]].itertuples(index=False)]
-    offsets = spark.createDataFrame(rows or [(-1, -1, 0)], "file int, part bigint, offset bigint")
-    from pyspark.sql.window import Window
-
+    offsets = small_table(spark, file=counts["file"], part=counts["part"], offset=counts["offset"])  # one row a part
     nth = F.row_number().over(Window.partitionBy("file", "part").orderBy("ord")) - 1
-    joined = split.withColumn("nth", nth).join(F.broadcast(offsets), ["file", "part"])
+    joined = split.withColumn("nth", nth).join(offsets, ["file", "part"])
     return joined.select((F.col("nth") + F.col("offset")).cast("bigint").alias("ord"), "line")
 
 
@@ -51,6 +50,11 @@ def rejected(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return read.where(~F.is_valid_utf8("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def unparsed(rows: DataFrame, line_col: str = "line") -> DataFrame:
+    """(ord, line): the lines that `parse_dictionary` leaves out though they aren't blank."""
+    return rows.where(T.tab_pair(line_col).isNull() & ~T.is_blank(line_col)).select("ord", F.col(line_col).alias("line"))
+
+
 def parse_dictionary(
     rows: DataFrame, shortest: int = 0, longest: int | None = None, fold: bool = False, line_col: str = "line"
 ) -> DataFrame:
