@@ -88,6 +88,9 @@ def test_native_phonemizer_and_ascii(spark):
     entries = spark.createDataFrame([(1, "ab"), (2, None), (3, " ")], "ord int, entry string")
     rows = P.phonemise(entries, P.Native(lambda: str.upper)).collect()
     assert [(r["word"], r["phonemes"]) for r in rows] == [("ab", "AB")]
+    rows = P.phonemise(entries, P.Native(lambda: lambda text: text.encode() + b"\xff\xc3")).collect()
+    assert len(rows) == 1 and rows[0]["phonemes"].startswith("ab\ufffd") and rows[0]["phonemes"].strip("ab\ufffd") == ""
+    assert [r["word"] for r in P.unspoken(entries.selectExpr("ord", "coalesce(entry, '!?') AS entry"), P.Rules("en")).collect()] == ["!?"]
     assert P.phonemise(entries, P.Rules("en", True)).count() == 1
 
 
