@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 
 from echolex.functions.text import trim, words_of
 from echolex.operators.samples import SAMPLES
-from echolex.session import Scratch
+from echolex.session import Scratch, small_table
 
 #: Trigrams in a profile, which bounds its size by the number of languages.
 PROFILE = 400
@@ -225,8 +225,11 @@ def _halves(texts: DataFrame) -> DataFrame:
     odd = F.conv(F.substring("hash", 32, 1), 16, 10).cast("int") % 2
     ends = hashed.groupBy("label").agg(F.max("hash").alias("high"), F.min(odd).alias("least"), F.max(odd).alias("most"), F.count("text").alias("n"))
     half = F.when(F.col("least") != F.col("most"), odd).otherwise((F.col("hash") == F.col("high")).cast("int"))
-    label = F.col("label").eqNullSafe(F.col("__label"))
-    return hashed.join(ends.withColumnRenamed("label", "__label"), label).withColumn("half", F.coalesce(half, odd, F.lit(0)).cast("string")).drop("hash", "high", "least", "most", "__label")
+    # one row a label; the planner knows their size, so the texts aren't shuffled by their label
+    rows = ends.collect()
+    columns = {c: pa.array([r[c] for r in rows], t) for c, t in (("high", pa.string()), ("least", pa.int32()), ("most", pa.int32()), ("n", pa.int64()))}
+    known = small_table(texts.sparkSession, __label=pa.array([r["label"] for r in rows], pa.string()), **columns)
+    return hashed.join(known, F.col("label").eqNullSafe(F.col("__label"))).withColumn("half", F.coalesce(half, odd, F.lit(0)).cast("string")).drop("hash", "high", "least", "most", "__label")
 
 
 def cross_detect(texts: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
